@@ -36,7 +36,7 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
-def word_encoder(path: str, cache_size: int = 500_000) -> Callable[[Sequence[str]], list[bytes]]:
+def word_encoder(path: str, cache_size: int = 800_000) -> Callable[[Sequence[str]], list[bytes]]:
     """Token ids of whole texts, as little-endian 32-bit bytes, for a vocabulary with word ends.
 
     No token of such a vocabulary crosses a space or line feed, so each distinct word is encoded once and kept in a bounded
@@ -45,9 +45,13 @@ def word_encoder(path: str, cache_size: int = 500_000) -> Callable[[Sequence[str
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    plain_words = Tokenizer(tokenizer.model)  # for lower-case letters alone: nothing to normalise, nothing to part but at spaces
+    plain_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    if hasattr(plain_words.model, "_resize_cache"):
+        plain_words.model._resize_cache(0)  # words are kept here
     ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
@@ -57,7 +61,7 @@ def word_encoder(path: str, cache_size: int = 500_000) -> Callable[[Sequence[str
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def together(words: list[str]) -> list[bytes]:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(plain_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) != len(words):
             return alone(words)
@@ -79,7 +83,7 @@ def word_encoder(path: str, cache_size: int = 500_000) -> Callable[[Sequence[str
         if len(known) > cache_size:
             known.clear()
         words = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        fresh = {w for w in set().union(*words) if w not in known}
+        fresh = set().union(*words).difference(known)
         if fresh:
             learn(fresh)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
@@ -150,7 +154,7 @@ def cut(length: int, window: int, piece: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = 512, group_windows: int = 128) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = 512, group_windows: int = 64) -> DataFrame:
     """Cut every document's ids (its text's, then id 1) into pieces and place them into windows.
 
     Each task reads its documents once, fills a group of about ``group_windows`` windows' tokens at a time and divides
