@@ -67,6 +67,24 @@ def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]]
     return df.mapInArrow(run, schema)
 
 
+#: Keys with more than this share of the matching rows are at most 1/HOT_SHARE many.
+HOT_SHARE = 1 / 2000
+
+
+def heavy_light_join(rows: DataFrame, dims: DataFrame, on: list[str], count_col: str, least: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``dims`` (unique by ``on``), whose ``count_col`` tells how many rows each key has.
+
+    Keys with more than HOT_SHARE of the matching rows are so few that their broadcast has a proven bound, and their rows stay
+    where they are; the rest meets by shuffle, no key of it being large. ``count_col`` must be cheap to read: ``dims`` is a saved table.
+    """
+    total = dims.agg(F.sum(count_col)).first()[0] or 0
+    hot = F.col(count_col) > max(least, total * HOT_SHARE)
+    few = dims.where(hot)
+    direct = rows.join(F.broadcast(few), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(dims.where(~hot), on)
+    return direct.unionByName(rest)
+
+
 def crc_mod(column: str, k: int):
     """crc32 of an id's text modulo ``k``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-
-#: Lines held by more than this share of all line rows are at most 1/HOT_SHARE many and go the broadcast way.
-HOT_SHARE = 1 / 2000
+from .common import heavy_light_join, saved
 
 
 def line_key(line: Column) -> Column:
@@ -34,25 +31,14 @@ def boilerplate_lines(lines: DataFrame, *, min_sites: int = 5, lg_k: int = 10, b
     # a line seen in fewer rows than min_sites, or on one site, can't pass: exact necessary conditions, no sketch needed
     seen = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min(F.struct("doc_id", "pos")).alias("keep"))
     seen = saved(seen.where((F.col("n") >= min_sites) & (F.col("s0") != F.col("s1"))).select("h", "n", "keep"))
-    spread = saved(matching(lines, seen).groupBy("h").agg(F.first("n").alias("n"), F.first("keep").alias("keep"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")))
+    spread = saved(heavy_light_join(lines, seen, ["h"], "n").groupBy("h").agg(F.first("n").alias("n"), F.first("keep").alias("keep"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")))
     low, high = min_sites * (1 - band), min_sites * (1 + band)
     near = spread.where(F.col("sites").between(low, high))
-    exact = matching(lines.select("h", "site"), near.select("h", "n", "keep")).groupBy("h", "site").agg(F.first("n").alias("n"), F.first("keep").alias("keep"))
+    exact = heavy_light_join(lines.select("h", "site"), near.select("h", "n", "keep"), ["h"], "n").groupBy("h", "site").agg(F.first("n").alias("n"), F.first("keep").alias("keep"))
     exact = exact.groupBy("h").agg(F.first("n").alias("n"), F.first("keep").alias("keep"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_sites)
     return saved(spread.where(F.col("sites") > high).select("h", "n", "keep").union(exact.select("h", "n", "keep")))
 
 
-def matching(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``lines`` whose hash is in ``wanted(h, n, ...)``, with its columns. Hashes with more than HOT_SHARE of the rows
-    that match (at most 1/HOT_SHARE many, so their broadcast is bounded) are joined in place; the others meet by shuffle, none of them large."""
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > max(1000, total * HOT_SHARE)
-    few = F.broadcast(wanted.where(hot))
-    direct = lines.join(few, "h")
-    rest = lines.join(F.broadcast(wanted.where(hot).select("h")), "h", "left_anti").join(wanted.where(~hot), "h")
-    return direct.unionByName(rest)
-
-
 def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_words: int = 4, lg_k: int = 10) -> DataFrame:
     """``docs`` with lines of ``min_sites`` or more distinct sites removed from every place but the first (smallest id, then
     position), and ``n_removed``. Where the input has ``n_chars`` it is left as it was.
@@ -63,7 +49,7 @@ def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     lines = saved(_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, site_col, min_words))
     bad = boilerplate_lines(lines, min_sites=min_sites, lg_k=lg_k)
-    found = matching(lines.drop("site"), bad).where((F.col("keep.doc_id") != F.col("doc_id")) | (F.col("keep.pos") != F.col("pos")))
+    found = heavy_light_join(lines.drop("site"), bad, ["h"], "n").where((F.col("keep.doc_id") != F.col("doc_id")) | (F.col("keep.pos") != F.col("pos")))
     cuts = found.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.collect_set("pos").alias("__cuts"))
     joined = docs.join(cuts, F.col(id_col) == F.col("__cut_id"), "left").drop("__cut_id")
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(__cuts, i)), '\\n')")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, line_dedup, mixing, packing, pii, quality, token_counts, topk
+from . import fingerprint, langid, line_dedup, mixing, ngram_join, packing, pii, quality, token_counts, topk
 from .common import scratch
 
 
@@ -86,6 +86,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.learn_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), r(node, root) USING KEY (node) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION (SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r k ON k.node = e.b WHERE r.root < k.root GROUP BY e.b)
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -121,10 +145,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
+    "op6_ngram_join": op6_ngram_join,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": ORACLE_1, "op2_token_counts": ORACLE_2, "op8_topk": ORACLE_8}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": ORACLE_1, "op2_token_counts": ORACLE_2, "op6_ngram_join": ORACLE_6, "op8_topk": ORACLE_8}
