@@ -88,6 +88,24 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def parity_marks(tokens: np.ndarray, most: int = 1 << 16) -> bytes:
+    """Parity of the set's hashes over 2 to 4 bits a shingle (a power of two, at most ``most``): two sets differ in at least as many
+    shingles as their marks in bits."""
+    bits = min(most, max(64, 1 << int(2 * len(tokens) - 1).bit_length())) if len(tokens) else 64
+    flags = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+    """False only where the marks prove that two sets differ in more than a ninth of their sizes' sum."""
+    (n, x), (m, y) = a, b
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return (DEN + NUM) * int(np.bitwise_count(x ^ y).sum()) <= (DEN - NUM) * (n + m)
+
+
 def profile(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
     """Per document its set size and signature; and, as rows of null id, shingles met in several sets of one task with their counts."""
 
@@ -98,27 +116,28 @@ def profile(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
         def repeats() -> list[list]:
             nonlocal size
             if not held:
-                return [[]] * 6
+                return [[]] * 7
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             size = 0
             many = counts > 2
             k = int(many.sum())
-            return [[None] * k, [None] * k, [None] * k, [None] * k, values[many].view(np.int64).tolist(), counts[many].tolist()]
+            return [[None] * k, [None] * k, [None] * k, [None] * k, [None] * k, values[many].view(np.int64).tolist(), counts[many].tolist()]
 
         def fn(ids, texts):
             nonlocal size
-            ns, s1, s2 = [], [], []
+            ns, s1, s2, marks = [], [], [], []
             for t in texts:
                 tokens = shingle_set(t)
                 a, b = signature(tokens)
                 ns.append(len(tokens))
                 s1.append(a)
                 s2.append(b)
+                marks.append(parity_marks(tokens))
                 held.append(tokens)
                 size += len(tokens)
             nulls = [None] * len(ids)
-            out = [list(ids), ns, s1, s2, nulls, list(nulls)]
+            out = [list(ids), ns, s1, s2, marks, nulls, list(nulls)]
             if size > flush:
                 out = [a + b for a, b in zip(out, repeats(), strict=True)]
             return out
@@ -126,7 +145,7 @@ def profile(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
         fn.finish = repeats
         return fn
 
-    return map_columns(docs, "doc_id long, n long, s1 long, s2 long, token long, cnt long", make)
+    return map_columns(docs, "doc_id long, n long, s1 long, s2 long, marks binary, token long, cnt long", make)
 
 
 def choose_boundary(histogram: dict[int, int], repeat_rate: float, check_cost: float = 30.0, top: int = 120) -> int:
@@ -312,28 +331,22 @@ def cross_pairs(lists: DataFrame, block: int = 2048) -> DataFrame:
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, members: int = 256) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, by exact intersection. Every pair is checked at its smaller id; an id with many
-    partners is dealt to several tasks with a copy of its text each."""
-    pairs = saved(pairs.select("a", "b").distinct())
-    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    counts = saved(counts.withColumn("parts", F.ceil(F.col("c") / members).cast("int")))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(counts.select(F.col("b").alias("doc_id"))).distinct()
-    texts = saved(docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]))
+def _check(pairs: DataFrame, counts: DataFrame, table: DataFrame, prepare, test) -> DataFrame:
+    """Pairs ``a, b`` that pass ``test`` on what ``prepare`` makes of their rows in ``table(doc_id, x, n)``. A pair is looked at where its ``b``
+    is; a ``b`` with many partners is dealt to several tasks with a copy of its row each."""
     dealt = heavy_light_join(pairs, counts, ["b"], "c").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    some = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", F.lit(1).alias("role"), F.col("a").alias("doc_id"), "text")
-    heads = counts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("doc_id"), "text")
+    some = dealt.join(table.withColumnRenamed("doc_id", "a"), "a").select("b", "part", F.lit(1).alias("role"), F.col("a").alias("doc_id"), "x", "n")
+    heads = counts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(table.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("doc_id"), "x", "n")
 
     def make():
         current: list = [None, None]
 
-        def fn(bs, parts, roles, ids, texts):
+        def fn(bs, parts, roles, ids, xs, ns):
             out_a, out_b = [], []
-            for b, part, role, i, t in zip(bs, parts, roles, ids, texts, strict=True):
-                tokens = shingle_set(t)
+            for b, part, role, i, x, n in zip(bs, parts, roles, ids, xs, ns, strict=True):
                 if role == 0:
-                    current[0], current[1] = (b, part), tokens
-                elif current[0] == (b, part) and linked(tokens, current[1]):
+                    current[0], current[1] = (b, part), prepare(x, n)
+                elif current[0] == (b, part) and test(prepare(x, n), current[1]):
                     out_a.append(i)
                     out_b.append(b)
             return [out_a, out_b]
@@ -344,6 +357,32 @@ def verify(pairs: DataFrame, docs: DataFrame, members: int = 256) -> DataFrame:
     return saved(map_columns(rows, "a long, b long", make))
 
 
+def _partners(pairs: DataFrame, members: int) -> DataFrame:
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    return saved(counts.withColumn("parts", F.ceil(F.col("c") / members).cast("int")))
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
+    """Texts of the wanted ids. A bit table of bounded size goes out first, so that of the other texts few are shuffled."""
+    count = wanted.count()
+    bits = min(most_bits, max(1 << 12, 1 << (16 * count).bit_length()))
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.groupBy(F.floor(place() / 32).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (place() % 32).cast("int"))).alias("on"))
+    near = docs.select("doc_id", "text", F.floor(place() / 32).alias("word"), F.shiftleft(F.lit(1).cast("long"), (place() % 32).cast("int")).alias("bit"))
+    near = near.join(F.broadcast(words), "word").where(F.col("on").bitwiseAND(F.col("bit")) != 0)
+    return near.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+
+
+def verify(pairs: DataFrame, docs: DataFrame, marks: DataFrame, members: int = 256) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar enough: parity marks drop pairs that can't be, exact intersections decide the rest."""
+    pairs = saved(pairs.select("a", "b").distinct())
+    small = marks.select("doc_id", F.col("marks").alias("x"), "n")
+    pairs = _check(pairs, _partners(pairs, 16 * members), small, lambda x, n: (n, np.frombuffer(x, "<u8")), may_link)
+    wanted = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    texts = saved(_texts_of(docs, wanted).select("doc_id", F.col("text").alias("x"), F.lit(0).cast("long").alias("n")))
+    return _check(pairs, _partners(pairs, members), texts, lambda x, n: shingle_set(x), linked)
+
+
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", heavy_least: int = 12, heavy_most: int = 200_000) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every document: the size of its set, the smallest id reachable over links
     (100 * intersection >= 80 * union of 5-word shingles), and how many other classes of equal sets its class was found linked to.
@@ -358,6 +397,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = saved(profile(rows))
     sets = found.where("token IS NULL").select("doc_id", "n", "s1", "s2")
+    marks = found.where("token IS NULL AND doc_id IS NOT NULL").select("doc_id", "marks", "n").dropDuplicates(["doc_id"])
     repeated = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("cnt").alias("c"))
     top = repeated.where(F.col("c") >= heavy_least).orderBy(F.col("c").desc(), "token").limit(heavy_most).toPandas()
     heavy = np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
@@ -381,12 +421,12 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     first = saved(ordered(as_reps(as_reps(looked.where("b IS NOT NULL").select("a", "b").distinct(), "a"), "b")))
-    links = verify(first, rows)
+    links = verify(first, rows, marks)
     comps = saved(min_label_components(links))
     lists = saved(as_reps(looked.where("b IS NULL").select("key", F.col("a").alias("doc_id"), "n"), "doc_id").distinct())
     lists = lists.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     second = cross_pairs(saved(lists)).distinct().join(first, ["a", "b"], "left_anti")
-    late = verify(second, rows)
+    late = verify(second, rows, marks)
     if late.limit(1).count():
         links = saved(links.union(late))
         comps = saved(min_label_components(links))
