@@ -366,10 +366,10 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> D
     """Texts of the wanted ids. A bit table of bounded size goes out first, so that of the other texts few are shuffled."""
     count = wanted.count()
     bits = min(most_bits, max(1 << 12, 1 << (16 * count).bit_length()))
-    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = wanted.groupBy(F.floor(place() / 32).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (place() % 32).cast("int"))).alias("on"))
-    near = docs.select("doc_id", "text", F.floor(place() / 32).alias("word"), F.shiftleft(F.lit(1).cast("long"), (place() % 32).cast("int")).alias("bit"))
-    near = near.join(F.broadcast(words), "word").where(F.col("on").bitwiseAND(F.col("bit")) != 0)
+    spot = f"pmod(xxhash64(doc_id), {bits})"
+    word, bit = F.expr(f"{spot} DIV 32").alias("word"), F.expr(f"shiftleft(1L, CAST({spot} % 32 AS INT))").alias("bit")
+    words = wanted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("on"))
+    near = docs.select("doc_id", "text", word, bit).join(F.broadcast(words), "word").where(F.col("on").bitwiseAND(F.col("bit")) != 0)
     return near.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
 
 
