@@ -288,21 +288,23 @@ def star_pairs(posted: DataFrame, whole: int = 4) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key", "rare", "doc_id").select("key", "doc_id", "n").mapInArrow(run, schema)
 
 
-def cross_pairs(lists: DataFrame, block: int = 2048) -> DataFrame:
-    """Pairs of sets of one list that lie in different components. ``lists(key, doc_id, n, comp)``; a list longer than ``block`` is dealt
-    to pairs of blocks, so a task never holds more than two blocks of it."""
-    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+def cross_pairs(lists: DataFrame, marks: DataFrame, block: int = 2048) -> DataFrame:
+    """Pairs of sets of one list that lie in different components and may link by their marks. ``lists(key, doc_id, n, comp)``. Of lists
+    with the same members one is looked at. A list longer than ``block`` is dealt to pairs of blocks, so a task never holds more
+    than two blocks of it."""
+    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y")).where("c0 <> c1")
+    counts = counts.groupBy("c", "x", "y").agg(F.min("key").alias("key"))
     counts = saved(counts.select("key", "c", F.ceil(F.col("c") / block).cast("int").alias("nb")))
-    rows = heavy_light_join(lists, counts, ["key"], "c")
+    rows = heavy_light_join(lists, counts, ["key"], "c").join(marks.select("doc_id", "marks"), "doc_id")
     rows = rows.withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "k", "doc_id", "n", "comp")
+    rows = rows.select("key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "k", "doc_id", "n", "comp", "marks")
     schema, out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def pairs(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, lo, hi, k, docs, sizes, comps = group
+            _, lo, hi, k, docs, sizes, comps, bits = group
             left = np.flatnonzero(k == lo)
             right = left if lo[0] == hi[0] else np.flatnonzero(k == hi)
             for at in range(0, len(left), 256):
@@ -311,12 +313,15 @@ def cross_pairs(lists: DataFrame, block: int = 2048) -> DataFrame:
                 if lo[0] == hi[0]:
                     ok &= docs[rows][:, None] > docs[right][None, :]
                 i, j = np.nonzero(ok)
-                if len(i):
-                    a, b = docs[rows[i]], docs[right[j]]
+                i, j = rows[i], right[j]
+                near = _marks_allow(bits, sizes, i, j)
+                if near.any():
+                    a, b = docs[i[near]], docs[j[near]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=out)
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            cols = [batch.column(i).to_numpy() for i in range(7)]
+            cols.append(np.array([np.frombuffer(m, "<u8") for m in batch.column(7).to_pylist()] + [None], dtype=object)[:-1])
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             change = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
@@ -331,6 +336,25 @@ def cross_pairs(lists: DataFrame, block: int = 2048) -> DataFrame:
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, schema)
 
 
+def _marks_allow(marks: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    """``may_link`` for many index pairs at once: pairs are taken by the lengths of their marks, the longer folded to the shorter."""
+    length = np.array([len(m) for m in marks])
+    allow = np.zeros(len(i), bool)
+    for u in np.unique(length[i]):
+        for v in np.unique(length[j[length[i] == u]]):
+            rows = np.flatnonzero((length[i] == u) & (length[j] == v))
+            w = min(u, v)
+            step = max(1, chunk // int(w))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                x = np.stack(marks[i[part]]).reshape(len(part), -1, w)
+                y = np.stack(marks[j[part]]).reshape(len(part), -1, w)
+                x, y = np.bitwise_xor.reduce(x, axis=1), np.bitwise_xor.reduce(y, axis=1)
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                allow[part] = (DEN + NUM) * apart <= (DEN - NUM) * (sizes[i[part]].astype(np.int64) + sizes[j[part]])
+    return allow
+
+
 def _check(pairs: DataFrame, counts: DataFrame, table: DataFrame, prepare, test) -> DataFrame:
     """Pairs ``a, b`` that pass ``test`` on what ``prepare`` makes of their rows in ``table(doc_id, x, n)``. A pair is looked at where its ``b``
     is; a ``b`` with many partners is dealt to several tasks with a copy of its row each."""
@@ -373,11 +397,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 24) -> D
     return near.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, marks: DataFrame, members: int = 256) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, marks: DataFrame | None = None, members: int = 256) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough: parity marks drop pairs that can't be, exact intersections decide the rest."""
     pairs = saved(pairs.select("a", "b").distinct())
-    small = marks.select("doc_id", F.col("marks").alias("x"), "n")
-    pairs = _check(pairs, _partners(pairs, 16 * members), small, lambda x, n: (n, np.frombuffer(x, "<u8")), may_link)
+    if marks is not None:
+        small = marks.select("doc_id", F.col("marks").alias("x"), "n")
+        pairs = _check(pairs, _partners(pairs, 16 * members), small, lambda x, n: (n, np.frombuffer(x, "<u8")), may_link)
     wanted = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = saved(_texts_of(docs, wanted).select("doc_id", F.col("text").alias("x"), F.lit(0).cast("long").alias("n")))
     return _check(pairs, _partners(pairs, members), texts, lambda x, n: shingle_set(x), linked)
@@ -425,8 +450,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     comps = saved(min_label_components(links))
     lists = saved(as_reps(looked.where("b IS NULL").select("key", F.col("a").alias("doc_id"), "n"), "doc_id").distinct())
     lists = lists.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    second = cross_pairs(saved(lists)).distinct().join(first, ["a", "b"], "left_anti")
-    late = verify(second, rows, marks)
+    second = cross_pairs(saved(lists), marks).distinct().join(first, ["a", "b"], "left_anti")
+    late = verify(second, rows)
     if late.limit(1).count():
         links = saved(links.union(late))
         comps = saved(min_label_components(links))
