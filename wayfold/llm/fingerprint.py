@@ -47,12 +47,14 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     return F.struct(lanes.alias("lanes"), bits.alias("bits"), (a["pairs"] + b["pairs"] * F.lit(sign)).alias("pairs"))
 
 
-def _bit_sums(h: Column, when: Column | None = None) -> list[Column]:
-    out = []
-    for j in range(BIT_LANES // 2):
-        v = F.shiftrightunsigned(h, j).bitwiseAND(F.lit(PAIR)) if j else h.bitwiseAND(F.lit(PAIR))
-        out.append(F.sum(F.when(when, v) if when is not None else v))
-    return out
+def bit_sums(hashes: Column) -> Column:
+    """How many of the hashes have each bit set, two counts to a long."""
+
+    def lane(j: int) -> Column:
+        spread = lambda h: F.shiftrightunsigned(h, j) if j else h
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + spread(h).bitwiseAND(F.lit(PAIR)))
+
+    return F.array(*(lane(j) for j in range(BIT_LANES // 2)))
 
 
 def unpack(packed: Column) -> Column:
@@ -77,19 +79,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a["lanes"] == b["lanes"]) & (a["pairs"] == b["pairs"]) & (a["bits"] == b["bits"]), F.lit(1.0)).otherwise(cosine)
 
 
-def fingerprint_documents(docs: DataFrame, *, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``key_cols`` and ``fp``, a struct of lanes, bit counts and the number of pairs, for each key; rows of one key are one multiset."""
-    units = docs.select(*key_cols, paragraphs(F.col(text_col)).alias("pars"))
-    units = units.select(*key_cols, hash_lanes(F.col("pars")).alias("lanes"), F.explode_outer(pair_hashes(F.col("pars"))).alias("h"), F.monotonically_increasing_id().alias("row"))
-    sums = [s.alias(f"b{j}") for j, s in enumerate(_bit_sums(F.col("h")))]
-    rows = units.groupBy(*key_cols, "row").agg(F.first("lanes").alias("lanes"), F.count("h").alias("pairs"), *sums)
-    merged = rows.groupBy(*key_cols).agg(*(F.sum(F.col("lanes")[j]).alias(f"l{j}") for j in range(HASH_LANES)), F.sum("pairs").alias("pairs"), *(F.sum(f"b{j}").alias(f"b{j}") for j in range(BIT_LANES // 2)))
-    return merged.select(*key_cols, _struct("", [F.col(f"l{j}").bitwiseAND(F.lit(MASK32)) for j in range(HASH_LANES)], "pairs").alias("fp"))
-
-
-def _struct(prefix: str, lanes: list[Column] | Column, pairs: str) -> Column:
-    packed = F.array(*(F.coalesce(F.col(f"{prefix}b{j}"), F.lit(0).cast("long")) for j in range(BIT_LANES // 2)))
-    return F.struct((lanes if isinstance(lanes, Column) else F.array(*lanes)).alias("lanes"), unpack(packed).alias("bits"), F.col(pairs).alias("pairs"))
+def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with the fingerprint of a text column: a struct of lanes, bit counts and the number of pairs. Null counts as empty."""
+    pars, hashes = f"__pars_{name}", f"__hashes_{name}"
+    df = df.withColumn(pars, paragraphs(F.col(text_col)))
+    df = df.withColumn(hashes, pair_hashes(F.col(pars))).withColumn(f"__lanes_{name}", hash_lanes(F.col(pars))).drop(pars)
+    df = df.withColumn(f"__sums_{name}", bit_sums(F.col(hashes))).withColumn(f"__pairs_{name}", F.size(hashes).cast("long")).drop(hashes)
+    value = F.struct(F.col(f"__lanes_{name}").alias("lanes"), unpack(F.col(f"__sums_{name}")).alias("bits"), F.col(f"__pairs_{name}").alias("pairs"))
+    return df.withColumn(name, value).drop(f"__lanes_{name}", f"__sums_{name}", f"__pairs_{name}")
 
 
 def _ranges(docs: DataFrame, id_col: str, target: int) -> tuple[Column, DataFrame]:
@@ -142,18 +139,8 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n = F.length("text")
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT))"), F.expr("substring(next, 1, CAST(floor(length(text) / 3) AS INT))"))
-    rows = rows.select("range", "copy", "at", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    head = rows.select("range", "copy", "at", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("pa"), paragraphs(F.when(F.col("copy") == 0, F.col("edited"))).alias("pe"))
-    head = head.select("range", "copy", "at", "doc_id", "n_chars", "edited_sha256", hash_lanes(F.col("pa")).alias("la"), hash_lanes(F.col("pe")).alias("le"), pair_hashes(F.col("pa")).alias("ha"), pair_hashes(F.col("pe")).alias("he"))
-    both = F.array(F.struct(F.lit(0).alias("e"), F.col("ha").alias("hs")), F.struct(F.lit(1).alias("e"), F.col("he").alias("hs")))
-    keys = ["range", "copy", "at"]
-    units = head.select(*keys, "doc_id", "n_chars", "edited_sha256", "la", "le", F.explode(both).alias("part"))
-    units = units.select(*keys, "doc_id", "n_chars", "edited_sha256", "la", "le", F.col("part.e").alias("e"), F.explode_outer("part.hs").alias("h"))
-    plain, changed = F.col("e") == 0, F.col("e") == 1
-    sums = [s.alias(f"a_b{j}") for j, s in enumerate(_bit_sums(F.col("h"), plain))] + [s.alias(f"e_b{j}") for j, s in enumerate(_bit_sums(F.col("h"), changed))]
-    fixed = [F.first(c).alias(c) for c in ("doc_id", "n_chars", "edited_sha256", "la", "le")]
-    sums += [F.count(F.when(plain, F.col("h"))).alias("a_pairs"), F.count(F.when(changed, F.col("h"))).alias("e_pairs")]
-    done = units.groupBy(*keys).agg(*fixed, *sums)
-    done = done.select(*keys, "doc_id", "n_chars", "edited_sha256", _struct("a_", F.col("la"), "a_pairs").alias("fp"), _struct("e_", F.col("le"), "e_pairs").alias("efp"))
-    done = done.withColumn("nfp", F.lead("fp").over(Window.partitionBy("range").orderBy("at"))).where("copy = 0")
+    rows = rows.select("range", "copy", "at", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("copy") == 0, edited).alias("edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = with_fingerprint(with_fingerprint(rows, "text", "fp").drop("text"), "edited", "efp").drop("edited")
+    done = rows.withColumn("nfp", F.lead("fp").over(Window.partitionBy("range").orderBy("at"))).where("copy = 0")
     return done.select("doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("fp")).alias("fingerprint"), fingerprint_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"))
