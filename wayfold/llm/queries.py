@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, langid, line_dedup, mixing, ngram_join, packing, pii, quality, token_counts, topk
-from .common import scratch
+from .common import saved, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,18 +45,26 @@ SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, sha256(coalesce(string_
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a load under two tokenizer versions, a revision (repeated lines dropped from documents of quality 0), the
     deletion of toxic documents, and the load committed a second time."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = _table(spark, sf_dir, "documents")
+    once = docs.withColumn("once", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    counts = token_counts.counted(docs) | token_counts.counted(docs, text_col="once", suffix="/once")
+    docs = saved(once.select("doc_id", "source", "lang", *(c.alias(n) for n, c in counts.items())))  # counts, not texts, meet the labels
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    ledger = token_counts.TokenLedger(spark, scratch(spark))
-    load = token_counts.inserted(docs, "words@1").union(token_counts.inserted(docs, "parts@2"))
-    ledger.commit("load", load)
     marked = docs.join(labels.where("quality = 0 OR toxic = 1"), "doc_id")
-    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    low = marked.where("quality = 0").withColumn("once", once)
-    ledger.commit("revise", token_counts.revised(low, "words@1", old_col="text", new_col="once").union(token_counts.revised(low, "parts@2", old_col="text", new_col="once")))
-    toxic = marked.where("toxic = 1").withColumn("text", F.when(F.col("quality") == 0, once).otherwise(F.col("text")))
-    ledger.commit("delete", token_counts.inserted(toxic, "words@1", sign=-1).union(token_counts.inserted(toxic, "parts@2", sign=-1)))
-    ledger.commit("load", load)
+    low, toxic = marked.where("quality = 0"), marked.where("toxic = 1")
+
+    def every(make) -> DataFrame:
+        first, *rest = [make(name) for name in token_counts.TOKENIZERS]
+        for r in rest:
+            first = first.union(r)
+        return first
+
+    ledger = token_counts.TokenLedger(spark, scratch(spark))
+    ledger.commit("load", every(lambda t: token_counts.inserted(docs, t, t)))
+    ledger.commit("revise", every(lambda t: token_counts.revised(low, t, old=t, new=f"{t}/once")))
+    now = lambda t: F.when(F.col("quality") == 0, F.col(f"`{t}/once`")).otherwise(F.col(f"`{t}`"))
+    ledger.commit("delete", every(lambda t: token_counts.inserted(toxic, t, now(t), sign=-1)))
+    ledger.commit("load", every(lambda t: token_counts.inserted(docs, t, t)))
     return ledger.totals()
 
 

@@ -46,15 +46,21 @@ def vocabulary_counts(docs: DataFrame, path: str, *, text_col: str = "text") ->
     return docs.mapInArrow(run, schema)
 
 
-def inserted(docs: DataFrame, tokenizer: str, *, text_col: str = "text", sign: int = 1) -> DataFrame:
-    """Signed counts of documents: ``sign`` 1 inserts them, -1 deletes them."""
-    return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("n_docs"), (TOKENIZERS[tokenizer](F.col(text_col)) * sign).alias("n_tokens"))
+def counted(docs: DataFrame, *, text_col: str = "text", suffix: str = "") -> dict:
+    """A column of token counts for each tokenizer version."""
+    return {f"{name}{suffix}": fn(F.col(text_col)) for name, fn in TOKENIZERS.items()}
 
 
-def revised(pairs: DataFrame, tokenizer: str, *, old_col: str, new_col: str) -> DataFrame:
+def inserted(rows: DataFrame, tokenizer: str, tokens: str | Column, *, sign: int = 1) -> DataFrame:
+    """Signed counts of documents with their ``tokens``: ``sign`` 1 inserts them, -1 deletes them."""
+    n = F.col(f"`{tokens}`") if isinstance(tokens, str) else tokens
+    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("n_docs"), (n * sign).cast("long").alias("n_tokens"))
+
+
+def revised(rows: DataFrame, tokenizer: str, *, old: str, new: str) -> DataFrame:
     """Signed counts of documents whose text changed: the old count leaves, the new one enters, the number stays."""
-    change = TOKENIZERS[tokenizer](F.col(new_col)) - TOKENIZERS[tokenizer](F.col(old_col))
-    return pairs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("long").alias("n_docs"), change.alias("n_tokens"))
+    change = F.col(f"`{new}`") - F.col(f"`{old}`")
+    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(0).cast("long").alias("n_docs"), change.cast("long").alias("n_tokens"))
 
 
 class TokenLedger:
