@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: 32-bit lanes summed modulo 2^32 over whole paragraphs (equality), and bit lanes counted over word pairs (likeness).
-HASH_LANES, BIT_LANES = 16, 64
+HASH_LANES, BIT_LANES = 16, 48
 MASK32 = 0xFFFFFFFF
 #: Two bit counts share a long: one in each half, so a half holds 2^31 pairs.
 PAIR = 0x0000000100000001
