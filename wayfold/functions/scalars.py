@@ -82,18 +82,18 @@ def consumable(text: Column) -> Column:
 
 def parse_skills(text: Column) -> Column:
     """"75 Construction;83 Farming" as (level, skill); malformed pieces are dropped, skill names may hold spaces."""
-    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim)
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p))
     good = F.filter(pieces, lambda p: p.rlike(r"^-?\d+\s+\S"))
     return F.transform(good, lambda p: F.struct(F.regexp_extract(p, r"^(-?\d+)", 1).cast("int").alias("level"), F.regexp_extract(p, r"^-?\d+\s+(.*)$", 1).alias("skill")))
 
 
 def parse_quests(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def parse_vars(text: Column) -> Column:
     """"4070=1;55@20" as (id, op, value); the first of = > < & @ that occurs parts a piece; other forms are dropped."""
-    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim)
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p))
     good = F.filter(pieces, lambda p: p.rlike(r"^\d+[=><&@]\d+$"))
     part = lambda p, i: F.regexp_extract(p, r"^(\d+)([=><&@])(\d+)$", i)
     return F.transform(good, lambda p: F.struct(part(p, 1).cast("long").alias("id"), part(p, 2).alias("op"), part(p, 3).cast("long").alias("value")))
