@@ -99,7 +99,7 @@ def _ranges(docs: DataFrame, id_col: str, target: int) -> tuple[Column, DataFram
     n, lo, hi = stats["n"], stats["lo"], stats["hi"]
     key = F.col(id_col)
     if not n or lo is None:
-        return F.lit(0).cast("long"), docs.select(F.lit(0).cast("long").alias("range"), F.col(id_col).alias("top")).limit(0)
+        return F.lit(0).cast("long"), docs.select(F.lit(0).cast("long").alias("range"), F.lit(None).cast("long").alias("top"), F.lit(0).cast("long").alias("above")).limit(1)
     want = max(1, math.ceil(n / target))
     coarse = min(512, want)
     cuts = sorted(set(docs.agg(F.percentile_approx(id_col, [i / coarse for i in range(1, coarse)], 20_000)).first()[0])) if coarse > 1 else []
