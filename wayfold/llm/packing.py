@@ -36,7 +36,7 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
-def word_encoder(path: str, cache_size: int = 800_000) -> Callable[[Sequence[str]], list[bytes]]:
+def word_encoder(path: str, cache_size: int = 250_000) -> Callable[[Sequence[str]], list[bytes]]:
     """Token ids of whole texts, as little-endian 32-bit bytes, for a vocabulary with word ends.
 
     No token of such a vocabulary crosses a space or line feed, so each distinct word is encoded once and kept in a bounded
