@@ -21,7 +21,8 @@ SEPARATOR = (1).to_bytes(4, "little")
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: Lower-case letters, then ASCII punctuation but the apostrophe (which joins the letters after it).
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _ENCODERS: dict[str, Callable[[Sequence[str]], list[bytes]]] = {}
 
 
@@ -36,12 +37,13 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
-def word_encoder(path: str, cache_size: int = 250_000) -> Callable[[Sequence[str]], list[bytes]]:
+def word_encoder(path: str, cache_size: int = 150_000) -> Callable[[Sequence[str]], list[bytes]]:
     """Token ids of whole texts, as little-endian 32-bit bytes, for a vocabulary with word ends.
 
-    No token of such a vocabulary crosses a space or line feed, so each distinct word is encoded once and kept in a bounded
-    table that a worker process reuses over its tasks. A word of plain letters, with closing punctuation or none, shares the
-    entry of its letters; new ones are encoded together and parted where a token ends a word.
+    No token of such a vocabulary crosses a space or line feed, so each distinct word is encoded once and kept in a table that
+    a worker process reuses over its tasks. Beyond ``cache_size`` entries the table becomes the older of two: words met again
+    move to the new one, the others go with the next change. A word of plain letters, with closing punctuation or none, shares
+    the entry of its letters; new ones are encoded together and parted where a token ends a word.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -55,7 +57,7 @@ def word_encoder(path: str, cache_size: int = 250_000) -> Callable[[Sequence[str
     ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
-    cores: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def alone(words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -68,22 +70,30 @@ def word_encoder(path: str, cache_size: int = 250_000) -> Callable[[Sequence[str
         blob = ids.tobytes()
         return [blob[4 * a : 4 * b] for a, b in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
 
+    def recall(words: set[str]) -> set[str]:
+        """Move words from the older table to the new one; the words that neither holds."""
+        missing = words.difference(known)
+        if older:
+            found = {w: older[w] for w in missing if w in older}
+            known.update(found)
+            missing.difference_update(found)
+        return missing
+
     def learn(words: set[str]) -> None:
         plain = {w: m.groups() for w in words if (m := _PLAIN(w))}
-        if len(cores) > cache_size:
-            cores.clear()
-        letters = [w for w in {p[0] for p in plain.values()} if w not in cores]
+        letters = list(recall({p[0] for p in plain.values()}))
         for at in range(0, len(letters), 2000):
-            cores.update(zip(letters[at : at + 2000], together(letters[at : at + 2000]), strict=True))
-        odd = [w for w in words if w not in plain] + [w for w in {p[1] for p in plain.values()} if w not in known]
+            known.update(zip(letters[at : at + 2000], together(letters[at : at + 2000]), strict=True))
+        odd = [*recall({p[1] for p in plain.values()}), *(w for w in words if w not in plain)]
         known.update(zip(odd, alone(odd), strict=True))
-        known.update((w, cores[a] + known[b]) for w, (a, b) in plain.items())
+        known.update((w, known[a] + known[b]) for w, (a, b) in plain.items() if b)
 
     def encode(texts: Sequence[str]) -> list[bytes]:
+        nonlocal known, older
         if len(known) > cache_size:
-            known.clear()
+            known, older = {}, known
         words = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        fresh = set().union(*words).difference(known)
+        fresh = recall(set().union(*words))
         if fresh:
             learn(fresh)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
