@@ -288,12 +288,31 @@ def star_pairs(posted: DataFrame, whole: int = 4) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key", "rare", "doc_id").select("key", "doc_id", "n").mapInArrow(run, schema)
 
 
+def mixed_lists(lists: DataFrame, *more) -> DataFrame:
+    """``key, c`` and the aggregates ``more`` of the lists that hold several components; of lists with the same members one is taken."""
+    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), *more).where("c0 <> c1")
+    extra = [n for n in counts.columns if n not in ("key", "c", "c0", "c1", "x", "y")]
+    return counts.groupBy("c", "x", "y").agg(F.min("key").alias("key"), *(F.min(n).alias(n) for n in extra)).select("key", "c", *extra)
+
+
+def center_pairs(lists: DataFrame, seed: int, centers: int = 4) -> DataFrame:
+    """Pairs ``a, b`` of every set of a list with several components and each of the list's ``centers`` (``b``) in another component.
+    A center is the id nearest to a seeded mask, so lists that share sets share centers. The rows are linear in the lists' lengths."""
+    masks = [int(m) for m in np.random.default_rng(seed).integers(0, 1 << 62, centers)]
+    near = [F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
+    dims = mixed_lists(lists, *near)
+    dims = saved(dims.select("key", "c", F.array_distinct(F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(masks)))).alias("at")))
+    rows = heavy_light_join(lists, dims, ["key"], "c")
+    pairs = rows.select(F.col("doc_id").alias("a"), F.explode("at").alias("b"), F.col("n").alias("an"), F.col("comp").alias("ac")).where("a <> b").distinct()
+    other = lists.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc")).join(dims.select(F.explode("at").alias("b")).distinct(), "b", "left_semi").distinct()
+    return pairs.join(other, "b").where((F.col("ac") != F.col("bc")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn"))).select("a", "b")
+
+
 def cross_pairs(lists: DataFrame, marks: DataFrame, block: int = 2048) -> DataFrame:
     """Pairs of sets of one list that lie in different components and may link by their marks. ``lists(key, doc_id, n, comp)``. Of lists
     with the same members one is looked at. A list longer than ``block`` is dealt to pairs of blocks, so a task never holds more
     than two blocks of it."""
-    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y")).where("c0 <> c1")
-    counts = counts.groupBy("c", "x", "y").agg(F.min("key").alias("key"))
+    counts = mixed_lists(lists)
     counts = saved(counts.select("key", "c", F.ceil(F.col("c") / block).cast("int").alias("nb")))
     rows = heavy_light_join(lists, counts, ["key"], "c").join(marks.select("doc_id", "marks"), "doc_id")
     rows = rows.withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -408,7 +427,7 @@ def verify(pairs: DataFrame, docs: DataFrame, marks: DataFrame | None = None, me
     return _check(pairs, _partners(pairs, members), texts, lambda x, n: shingle_set(x), linked)
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", heavy_least: int = 12, heavy_most: int = 200_000) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", heavy_least: int = 12, heavy_most: int = 200_000, rounds: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every document: the size of its set, the smallest id reachable over links
     (100 * intersection >= 80 * union of 5-word shingles), and how many other classes of equal sets its class was found linked to.
 
@@ -449,12 +468,26 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = verify(first, rows, marks)
     comps = saved(min_label_components(links))
     lists = saved(as_reps(looked.where("b IS NULL").select("key", F.col("a").alias("doc_id"), "n"), "doc_id").distinct())
-    lists = lists.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    second = cross_pairs(saved(lists), marks).distinct().join(first, ["a", "b"], "left_anti")
+
+    def placed() -> DataFrame:
+        return saved(lists.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
+
+    # a few centers a list join most of what its first set did not; what then stays apart is compared in full
+    tested = first
+    for seed in range(rounds):
+        pairs = saved(center_pairs(placed(), seed).join(tested.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.greatest("a", "b") == F.col("__a")) & (F.least("a", "b") == F.col("__b")), "left_anti"))
+        late = verify(pairs, rows, marks)
+        tested = saved(tested.union(ordered(pairs)).distinct())
+        if not late.limit(1).count():
+            break
+        links = saved(links.union(late))
+        comps = saved(min_label_components(links))
+    second = cross_pairs(placed(), marks).distinct().join(tested, ["a", "b"], "left_anti")
     late = verify(second, rows)
     if late.limit(1).count():
         links = saved(links.union(late))
         comps = saved(min_label_components(links))
+    links = ordered(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
 
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).distinct()
