@@ -295,7 +295,7 @@ def mixed_lists(lists: DataFrame, *more) -> DataFrame:
     return counts.groupBy("c", "x", "y").agg(F.min("key").alias("key"), *(F.min(n).alias(n) for n in extra)).select("key", "c", *extra)
 
 
-def center_pairs(lists: DataFrame, seed: int, centers: int = 4) -> DataFrame:
+def center_pairs(lists: DataFrame, seed: int, centers: int = 8) -> DataFrame:
     """Pairs ``a, b`` of every set of a list with several components and each of the list's ``centers`` (``b``) in another component.
     A center is the id nearest to a seeded mask, so lists that share sets share centers. The rows are linear in the lists' lengths."""
     masks = [int(m) for m in np.random.default_rng(seed).integers(0, 1 << 62, centers)]
@@ -427,7 +427,7 @@ def verify(pairs: DataFrame, docs: DataFrame, marks: DataFrame | None = None, me
     return _check(pairs, _partners(pairs, members), texts, lambda x, n: shingle_set(x), linked)
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", heavy_least: int = 12, heavy_most: int = 200_000, rounds: int = 3) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", heavy_least: int = 12, heavy_most: int = 200_000, rounds: int = 1) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every document: the size of its set, the smallest id reachable over links
     (100 * intersection >= 80 * union of 5-word shingles), and how many other classes of equal sets its class was found linked to.
 
