@@ -434,7 +434,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Equal sets are one class and enter the join once. Sets meet by 2-subsets of prefixes when small and by inverted lists of prefixes
     when large; the boundary is chosen by cost from the sizes and the rate of repeated shingles. The order that puts frequent shingles last
     is any fixed order to the join: its table is bounded (``heavy_most`` hashes, broadcast) and what it misses costs time, not links.
-    Every link between different components is checked exactly; links inside a component already found need no check.
+    Every link between different components is checked exactly; links inside a component already found need no check, so ``n_links``
+    is a lower bound. ``rounds`` of seeded centers join sets at linear cost; any number of them gives the same components.
     Null and empty texts have empty sets and link with nothing; rows of one id must agree in text and count once; null ids are returned
     with their own null component; other columns are ignored; an empty table gives no rows. Hash values have 64 bits.
     """
