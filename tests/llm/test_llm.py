@@ -101,6 +101,26 @@ def test_field_finds_forms_without_pattern():
     assert hits / total > 0.85 and wrong / total < 0.15
 
 
+def test_whole_texts_give_spelled_out_addresses():
+    field = pii.field_from(pii.trained_field())
+    forms = ["ann at example.com", "ann at example dot com", "ann at example[dot]com", "ann at example(dot)com", "ann[at]example.com", "ann(at)example dot com"]
+    for form in forms:
+        for before, after in (("please write to ", " soon"), ("x 7 write to ", " or 12 "), ("", ""), ("many words " * 20 + "mail ", " and no more" * 20)):
+            text = before + form + after
+            where = (len(before), len(before) + len(form))
+            assert any(x <= where[0] and where[1] <= y for x, y in pii.regions(text, [])), text
+    # a cue 32 characters behind another
+    text = "7 " + "ab " * 9 + "xy at " + "a" * 37 + ".com end"
+    assert any(x <= 29 and 76 <= y for x, y in pii.regions(text, []))
+    assert pii.regions("she was at home and looked at it", []) == []
+    hits = total = wrong = 0
+    for t, gold in pii.examples(400, seed=99):
+        got = {s for s in pii.find_spans(t, field)[1] if s[2] == "email"}
+        gold = {s for s in gold if s[2] == "email"}
+        hits, total, wrong = hits + len(got & gold), total + len(gold), wrong + len(got - gold)
+    assert hits / total > 0.75 and wrong / total < 0.3, (hits, total, wrong)
+
+
 def test_fingerprints_against_plain_text(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy(F.desc("doc_id")).collect()

@@ -25,7 +25,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"[0-9@]|[\[(]at[\])]| dot ", re.I)
+# every candidate of span_features has a digit or one of these; the word ' at ' counts only with a dot form in reach of one span
+_CUE = re.compile(r"[0-9@]|[\[(]at[\])]| dot(?= )| at(?= )", re.I)
+_DOT = re.compile(r"\w\.\w| dot |[\[(]dot[\])]", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 
 
@@ -273,6 +275,9 @@ def regions(text: str, taken: list[tuple[int, int]], before: int = 40, after: in
     span = next(spans, None)
     while m := _CUE.search(text, at):
         a = m.start()
+        if m[0].lower() == " at" and not _DOT.search(text, max(0, a - MAX_CHARS), m.end() + MAX_CHARS):
+            at = m.end()
+            continue
         while span is not None and span[1] <= a:
             span = next(spans, None)
         if span is not None and span[0] <= a:
@@ -288,14 +293,10 @@ def regions(text: str, taken: list[tuple[int, int]], before: int = 40, after: in
             out[-1][1] = max(hi, out[-1][1])
         else:
             out.append([lo, hi])
-        at = max(m.end(), hi - after // 2) if hi - after // 2 > m.end() and _quiet(text, m.end(), hi - after // 2) else m.end()
+        at = m.end()
     return [(a, b) for a, b in out]
 
 
-def _quiet(text: str, a: int, b: int) -> bool:
-    return _CUE.search(text, a, b) is None
-
-
 def find_spans(text: str, field: SemiMarkovField) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Fixed-pattern spans, and all spans: the field adds segments that touch none of them."""
     base = base_spans(text)
