@@ -142,6 +142,19 @@ def test_fingerprint_is_a_multiset_sum(spark):
     assert r["x"] and r["y"] and r["z"]
 
 
+def test_likeness_counts_all_64_bits(spark):
+    r = random.Random(5)
+    sizes = [0, 1, 126, 127, 128, 254, 255, 1200]
+    rows = [(n, [r.choice([-1, -1, 0, 1 << 63, r.getrandbits(64)]) for _ in range(n)]) for n in sizes] + [(500, [-1] * 500)]
+    signed = [(n, [h - (1 << 64) if h >= 1 << 63 else h for h in (x & (1 << 64) - 1 for x in hs)]) for n, hs in rows]
+    df = spark.createDataFrame(signed, "n long, hashes array<long>").select("n", fingerprint.unpack(fingerprint.bit_sums(F.col("hashes"))).alias("bits"))
+    got = {x["n"]: x["bits"] for x in df.collect()}
+    for n, hs in rows:
+        assert got[n] == [sum(h >> bit & 1 for h in hs) for j in range(32) for bit in (j, j + 32)]
+    df = fingerprint.with_fingerprint(spark.createDataFrame([("a b c",)], "t string"), "t", "f")
+    assert len(df.first()["f"]["bits"]) == 64
+
+
 def test_quality_accuracy_on_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op5_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: 32-bit lanes summed modulo 2^32 over whole paragraphs (equality), and bit lanes counted over word pairs (likeness).
-HASH_LANES, BIT_LANES = 16, 48
+HASH_LANES, BIT_LANES = 16, 64
 MASK32 = 0xFFFFFFFF
-#: Two bit counts share a long: one in each half, so a half holds 2^31 pairs.
-PAIR = 0x0000000100000001
+#: Eight bit counts share a long, one in each byte, over chunks of so few hashes that neither a byte nor the signed long overflows.
+BYTES, CHUNK = 0x0101010101010101, 127
 
 
 def paragraphs(text: Column) -> Column:
@@ -48,18 +48,24 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def bit_sums(hashes: Column) -> Column:
-    """How many of the hashes have each bit set, two counts to a long."""
+    """For every chunk of hashes, how many have each bit set: eight longs of eight counts."""
 
-    def lane(j: int) -> Column:
+    def lane(chunk: Column, j: int) -> Column:
         spread = lambda h: F.shiftrightunsigned(h, j) if j else h
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + spread(h).bitwiseAND(F.lit(PAIR)))
+        return F.aggregate(chunk, F.lit(0).cast("long"), lambda a, h: a + spread(h).bitwiseAND(F.lit(BYTES)))
+
+    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.transform(F.array(F.slice(hashes, i, CHUNK)), lambda c: F.array(*(lane(c, j) for j in range(8))))[0])
+
 
-    return F.array(*(lane(j) for j in range(BIT_LANES // 2)))
+def unpack(chunks: Column) -> Column:
+    """The counts of all bit lanes, bit 0, 32, 1, 33 and so on, from those of the chunks."""
 
+    def count(bit: int) -> Column:
+        byte = lambda v: (F.shiftrightunsigned(v[bit % 8], bit - bit % 8) if bit >= 8 else v[bit % 8]).bitwiseAND(F.lit(0xFF))
+        return F.aggregate(chunks, F.lit(0).cast("long"), lambda a, v: a + byte(v))
 
-def unpack(packed: Column) -> Column:
-    """The counts of all bit lanes from their sums, two to a long."""
-    return F.flatten(F.transform(packed, lambda v: F.array(v.bitwiseAND(F.lit(MASK32)), F.shiftrightunsigned(v, 32))))
+    return F.array(*(count(bit) for j in range(BIT_LANES // 2) for bit in (j, j + 32)))
 
 
 def fingerprint_text(fp: Column) -> Column:
