@@ -264,6 +264,14 @@ def test_packing_round_trip(spark):
     assert (ends["first"] == 0).all() and (ends.end == ends["sum"]).all() and ends.end.max() <= 2048
 
 
+def test_language_sample_spans_the_text(spark):
+    for n in (0, 1, 399, 400, 401, 799, 800, 1199, 5000):
+        got = langid.spread_words(list(range(n)), 400)
+        assert len(got) == len(set(got)) == min(n, 400) and (n <= 400 or np.diff([*got, n]).max() <= -(-n // 400))
+    docs = spark.createDataFrame([(i, "ab " * 400 + "zuletzt " * 300, "de") for i in range(3)], "doc_id long, text string, lang string")
+    assert "zuletzt" in langid.learn_languages(docs).words
+
+
 def test_language_accuracy_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op10_language(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")

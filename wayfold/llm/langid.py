@@ -76,6 +76,11 @@ def fit_counts(counts: dict[str, Counter], order: int = 4, least: int = 3) -> Wo
     return WordFirstModel(langs, words, grams, np.log(docs / docs.sum()) if langs else docs, order)
 
 
+def spread_words(words: list[str], k: int) -> list[str]:
+    """All words, or where there are more than ``k`` those at ``k`` evenly spaced places of the whole list."""
+    return words if len(words) <= k else [words[i * len(words) // k] for i in range(k)]
+
+
 def learn_languages(docs: DataFrame, *, sample_rows: int = 1500, sample_words: int = 400, order: int = 4, seed: int = 9) -> WordFirstModel:
     """Fit on a bounded sample: of each language at most ``sample_rows`` training documents (crc32 of the id mod 3 is not 1, text
     and lang not null) in hash order, and of each at most ``sample_words`` words from evenly spaced places. Counts are summed
@@ -98,9 +103,7 @@ def learn_languages(docs: DataFrame, *, sample_rows: int = 1500, sample_words: i
 
         def fn(langs, texts):
             for g, t in zip(langs, texts, strict=True):
-                found = words_of(t)
-                step = max(1, len(found) // sample_words)
-                counts.setdefault(g, Counter()).update(found[::step][:sample_words])
+                counts.setdefault(g, Counter()).update(spread_words(words_of(t), sample_words))
             return [], [], []
 
         def finish():
