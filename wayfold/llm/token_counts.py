@@ -24,28 +24,6 @@ def parts_v2(text: Column) -> Column:
 TOKENIZERS = {"words@1": words_v1, "parts@2": parts_v2}
 
 
-def vocabulary_counts(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens`` counted by a vocabulary file with word ends, one Arrow pass."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    from .common import arrow_schema
-    from .packing import word_encoder
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.LongType())])
-    at, out = docs.columns.index(text_col), arrow_schema("n long")[1].field(0).type
-
-    def run(batches):
-        encode = word_encoder(path)
-        for batch in batches:
-            counts: list[int] = []
-            for i in range(0, batch.num_rows, 256):
-                counts += [len(b) // 4 for b in encode([t or "" for t in batch.column(at).slice(i, 256).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, type=out)], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
 def counted(docs: DataFrame, *, text_col: str = "text", suffix: str = "") -> dict:
     """A column of token counts for each tokenizer version."""
     return {f"{name}{suffix}": fn(F.col(text_col)) for name, fn in TOKENIZERS.items()}
