@@ -292,3 +292,112 @@ def test_pipeline_stages(spark):
         if name == "line_dedup":
             assert docs.count() == before.count()
     assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def brute_lines(rows):
+    """Texts by row without lines of four words or more on five sites or more, but for the first place of each."""
+    white = "\x20\t\n\x0b\x0c\r"
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    sites, first = {}, {}
+    for r in rows:
+        for pos, line in enumerate((r["text"] or "").split("\n")):
+            if len(words(line)) >= 4:
+                k = line.strip(white)
+                sites.setdefault(k, set()).add(r["source"] or "")
+                first[k] = min(first.get(k, (r["doc_id"], pos)), (r["doc_id"], pos))
+    gone = lambda i, pos, line: len(words(line)) >= 4 and len(sites[line.strip(white)]) >= 5 and first[line.strip(white)] != (i, pos)
+    return {r["doc_id"]: r["text"] and "\n".join(x for pos, x in enumerate(r["text"].split("\n")) if not gone(r["doc_id"], pos, x)) for r in rows}
+
+
+def brute_targets(sizes):
+    """Targets that are one level times the weight, none above twice the size, found by halving."""
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate([*sorted(s for s in sizes if s is not None), *(s for s in sizes if s is None)])}
+    low, high = 0.0, 4.0 * sum(sizes.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * n, level * weight[s]) for s, n in sizes.items()) < 1.5 * sum(sizes.values()) else (low, level)
+    return {s: min(2 * n, high * weight[s]) for s, n in sizes.items()}
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in df.collect())
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = [r.asDict() for r in docs.collect()]
+    good = [r for r in rows if len(r["text"] or "") > 600][:12]
+    for k, r in enumerate(good):  # a license line on every second of them, and a near copy with one more word
+        if k % 2:
+            r["text"], r["source"] = f"{r['text']}\n  planted line of six words ", f"site{k}"
+        rows.append(r | {"doc_id": 10**6 + k, "text": f"{r['text']} more"})
+    for r in rows:
+        r["n_chars"] = len(r["text"] or "")
+    sf = str(tmp_path)
+    spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in rows], docs.schema).write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+    # quality: the plain score of every whole text
+    scorer = quality.Scorer(quality.learn_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    kept = stages["quality"](spark, docs, sf).cache()
+    assert plain(kept) == sorted(tuple(r.values()) for r in rows if 1 / (1 + np.exp(-scorer.logits((r["text"] or "").encode()).mean())) >= 0.3)
+    assert 0 < kept.count() < len(rows)
+
+    before = kept.collect()
+    lines = stages["line_dedup"](spark, kept, sf).cache()
+    texts = brute_lines(before)
+    assert plain(lines) == sorted((r["doc_id"], t, r["lang"], r["source"], len(t)) for r in before for t in [texts[r["doc_id"]]])
+    assert any(texts[r["doc_id"]] != r["text"] for r in before)
+
+    before = lines.collect()
+    parts = brute_components([(r["doc_id"], r["text"]) for r in before])
+    single = stages["near_duplicates"](spark, lines, sf).cache()
+    assert plain(single) == sorted(tuple(r) for r in before if parts[r["doc_id"]] == r["doc_id"])
+    assert single.count() < len(before)
+
+    # mixing: whole passes and a rest as near as any choice of documents comes, all columns as they were
+    before = {r["doc_id"]: r for r in single.collect()}
+    mixed = stages["mixing"](spark, single, sf).cache()
+    times = {}
+    for r in mixed.collect():
+        assert r == before[r["doc_id"]]
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in before.items()}
+    sizes = {}
+    for i, r in before.items():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + size[i]
+    targets = brute_targets(sizes)
+    assert len(set(times.values()) | {0}) > 1 and not any(times.get(i) for i in before if not size[i])
+    for source, target in targets.items():
+        ids = [i for i, r in before.items() if r["source"] == source and size[i]]
+        if not ids:
+            continue
+        passes, reach = int((target + 1e-6) // sizes[source]), 1
+        for i in ids:
+            reach |= reach << size[i]
+        rest = target - passes * sizes[source]
+        best = min(abs(n - rest) for n in range(reach.bit_length()) if reach >> n & 1)
+        extra = sum((times.get(i, 0) - passes) * size[i] for i in ids)
+        assert all(times.get(i, 0) - passes in (0, 1) for i in ids)
+        assert abs(extra - rest) <= max(best, max(size[i] for i in ids) // 2) + 1, source
+
+    # packing: every token of every copy in one place
+    packed = stages["packing"](spark, mixed, sf).toPandas()
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    assert set(packed.doc_id) == set(times)
+    for i, g in packed.groupby("doc_id"):
+        ids = np.array(tokenizer.encode(before[i]["text"], add_special_tokens=False).ids + [1], dtype="<u4")
+        cover = np.zeros(len(ids), int)
+        for p in g.itertuples():
+            assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(ids)
+            cover[p.start : p.start + p.length] += 1
+        assert (cover == times[i]).all()
+    for _, g in packed.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.iloc[0] == 0 and (g.offset + g.length).iloc[-1] <= 2048 and ((g.offset + g.length).iloc[:-1].values == g.offset.iloc[1:].values).all()
+
+    # the whole run packs the same pieces
+    pieces = lambda df: sorted(zip(df.doc_id, df.start, df.length, df.ids_crc32, strict=True))
+    assert pieces(corpus_pipeline.run(spark, sf).toPandas()) == pieces(packed)
