@@ -470,6 +470,18 @@ def distance_transform(spark, sf):
     return t.select("tile", F.array_min(F.transform("seeds", lambda s: s["w"] + S.chebyshev_flat(col("x"), col("y"), s["sx"], s["sy"]))).alias("distance"))
 
 
+BBOX = "(max(x) - min(x) + 1) * (max(y) - min(y) + 1)"
+
+
+@query(world(T, E, CC, recursive=True) + f"SELECT component_id, min(p) AS plane, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, {BBOX} AS bbox_cells, count(*) AS walkable_tiles, round(count(*) / ({BBOX}), 6) AS fill_ratio FROM comp JOIN tiles USING (tile) GROUP BY 1")
+def bbox_report(spark, sf):
+    """Box and fill ratio of every component."""
+    j = components(spark, sf).join(D.tiles(spark, sf), "tile")
+    b = j.groupBy("component_id").agg(F.min("p").alias("plane"), *(f(c).alias(f"{n}_{c}") for f, n in ((F.min, "min"), (F.max, "max")) for c in "xy"), F.count(F.lit(1)).alias("walkable_tiles"))
+    b = b.withColumn("width", F.expr("max_x - min_x + 1")).withColumn("height", F.expr("max_y - min_y + 1")).withColumn("bbox_cells", F.expr("width * height"))
+    return b.withColumn("fill_ratio", F.round(col("walkable_tiles") / col("bbox_cells"), 6))
+
+
 @query(world(T, E, CC, "b AS (SELECT component_id, count(*) AS walkable, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS area FROM comp JOIN tiles USING (tile) GROUP BY 1)", recursive=True) + "SELECT component_id, walkable, area, round(walkable / area, 6) AS fill FROM b ORDER BY area DESC, component_id LIMIT 30")
 def bbox_topk(spark, sf):
     j = components(spark, sf).join(D.tiles(spark, sf), "tile")
