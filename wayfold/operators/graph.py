@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,24 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import saved
 
 #: Neighbour offsets in the order west, east, south, north.
 CARDINAL = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 DIAGONAL = [(-1, -1), (1, -1), (-1, 1), (1, 1)]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def walk_edges(tiles: DataFrame) -> DataFrame:
     """Directed steps ``s, d`` between walkable tiles that share a side: each tile emits its neighbours' keys, one hash join."""
     offsets = F.array(*(F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in CARDINAL))
@@ -105,10 +93,20 @@ def natural_components(tiles: DataFrame, edges: DataFrame, region: int = 64) ->
         parts = parts.join(roots.withColumnRenamed("node", "part"), "part", "left").select("tile", F.coalesce("root", "part").alias("root"))
     else:
         parts = parts.select("tile", F.col("part").alias("root"))
-    numbers = parts.select("root").distinct().withColumn("component_id", F.row_number().over(Window.orderBy("root")).cast("long"))
+    numbers = numbered(parts.select("root").distinct(), "root", "component_id")
     return parts.join(numbers, "root").select("tile", "root", "component_id")
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the place of its distinct ``key`` from 1: ranges are numbered side by side, and only their sizes meet in one task."""
+    part, before = f"__part_{name}", f"__before_{name}"
+    rows = saved(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(part, F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(key)) + F.col(before)
+    return rows.join(F.broadcast(starts), part).withColumn(name, place.cast("long")).drop(part, before)
+
+
 def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` over ``edges(s, d)``: one semi-naive join a round on the component graph."""
     reached = saved(seeds.select("node").distinct())
