@@ -1,40 +1,50 @@
-"""Shared helpers: the shared scratch folder, lineage cuts, Arrow row loops and heavy-light joins."""
+"""Shared helpers: memory of worker processes, Arrow row loops, heavy-light joins and components."""
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import star_components
+from ..storage import saved, scratch  # noqa: F401
+
 #: Word separators of every contract here: space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of ``spark.checkpoint.dir``; an own one is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
+_STATE: dict[str, object] = {}
+
+
+def worker_state(owner: str, make: Callable[[], object]):
+    """What a worker process keeps between the tasks of one operator; the first task of another owner drops it."""
+    if owner not in _STATE:
+        _STATE.clear()
+        release_memory()
+        _STATE[owner] = make()
+    return _STATE[owner]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release_memory() -> None:
+    """Give freed memory of this process back: workers outlive their tasks, and what one operator freed the next one can't use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
@@ -44,7 +54,7 @@ def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
     return spark_schema, to_arrow_schema(spark_schema)
 
 
-def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]]) -> DataFrame:
+def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]], owner: str | None = None) -> DataFrame:
     """Arrow map over ``df``. ``make`` runs once a task and returns a function from the batch's column lists to output column lists.
 
     Batches are cut into slices so that Python objects of only a few hundred rows exist at a time.
@@ -52,6 +62,8 @@ def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]]
     schema, out = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if owner is None:  # drops what another operator left in this worker; an owner keeps its own state
+            worker_state(ddl, bool)
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -63,6 +75,8 @@ def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]]
             cols = finish()
             if cols and len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+        del fn, finish
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -94,32 +108,6 @@ def word_count(column):
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def min_label_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``links(a, b)`` as ``(node, component)`` with the smallest node as component.
-
-    Alternating large-star and small-star steps on the shared folder: every round is a partial minimum per node and one
-    join of the links with it, so a node with very many links is a skewed join side (dealt anew by adaptive execution), never
-    a collected list. Only a count comes to the driver.
-    """
-    spark = links.sparkSession
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: bigger neighbours move to the minimum of the closed neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: smaller neighbours and the node itself move to the smallest neighbour
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
-        fresh = saved(small.distinct())
-        # stable when every node hangs on one root and no root hangs on another
-        bad = fresh.join(fresh.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        many = 0 if bad else fresh.groupBy("u").count().where("count > 1").limit(1).count()
-        edges = fresh
-        if not bad and not many:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+def min_label_components(links: DataFrame) -> DataFrame:
+    """Connected components of ``links(a, b)`` as ``(node, component)`` with the smallest node as component."""
+    return star_components(links.select(F.col("a").alias("s"), F.col("b").alias("d"))).withColumnRenamed("root", "component")

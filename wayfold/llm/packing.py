@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, release_memory, worker_state
 
 WINDOW = 2048
 SEPARATOR = (1).to_bytes(4, "little")
@@ -23,7 +23,6 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 #: Lower-case letters, then ASCII punctuation but the apostrophe (which joins the letters after it).
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-_ENCODERS: dict[str, Callable[[Sequence[str]], list[bytes]]] = {}
 
 
 def _lower(text: str) -> str:
@@ -41,12 +40,10 @@ def word_encoder(path: str, cache_size: int = 150_000) -> Callable[[Sequence[str
     """Token ids of whole texts, as little-endian 32-bit bytes, for a vocabulary with word ends.
 
     No token of such a vocabulary crosses a space or line feed, so each distinct word is encoded once and kept in a table that
-    a worker process reuses over its tasks. Beyond ``cache_size`` entries the table becomes the older of two: words met again
+    the caller keeps over tasks. Beyond ``cache_size`` entries the table becomes the older of two: words met again
     move to the new one, the others go with the next change. A word of plain letters, with closing punctuation or none, shares
     the entry of its letters; new ones are encoded together and parted where a token ends a word.
     """
-    if path in _ENCODERS:
-        return _ENCODERS[path]
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
@@ -98,7 +95,6 @@ def word_encoder(path: str, cache_size: int = 150_000) -> Callable[[Sequence[str
             learn(fresh)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
-    _ENCODERS[path] = encode
     return encode
 
 
@@ -176,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     _, out = arrow_schema(DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path)
+        encode = worker_state(f"words of {tokenizer_path}", lambda: word_encoder(tokenizer_path))
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
         waiting: list[tuple] = []
@@ -219,5 +215,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
                     yield emit(rows)
         if waiting:
             yield emit(flush())
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, arrow_schema(DDL)[0])

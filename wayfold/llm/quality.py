@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_columns
+from .common import crc_mod, map_columns, release_memory, worker_state
 
 CHUNK, STEP = 1024, 896
 WIDTH, STRIDE, FILTERS = 8, 4, 12
@@ -55,43 +55,31 @@ class ByteNet:
         low, high = np.arange(65536) & 255, np.arange(65536) >> 8
         return np.stack([self.kernel[2 * i][low] + self.kernel[2 * i + 1][high] for i in range(WIDTH // 2)])
 
-    def fit(self, sample: list[tuple[list[bytes], int]], epochs: int = 14, rate: float = 0.01, short_share: float = 0.06, seed: int = 5) -> ByteNet:
-        """Adam on documents' log loss. ``sample`` has the chunks and the label of each document."""
+    def fit(self, sample: list[tuple[bytes, int]], epochs: int = 12, rate: float = 0.02, short_share: float = 0.06, seed: int = 5) -> ByteNet:
+        """Adam on log loss. ``sample`` has each document's whole bytes and label; an epoch visits every chunk of every document,
+        and the chunks of one document weigh as much together as any other document."""
         rng = np.random.default_rng(seed)
         share = np.mean([y for _, y in sample])
         self.out_bias = np.float32(np.log((share + 1e-3) / (1 - share + 1e-3)))
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in self.params()]
-        prepared = [([np.frombuffer(c, np.uint8) for c in cs], y) for cs, y in sample]
-        step, group = 0, 32
+        items = []
+        for data, y in sample:
+            cs = list(chunks(data))
+            items += [(np.frombuffer(c, np.uint8), y, 1 / len(cs)) for c in cs]
+        step, group = 0, 48
         for epoch in range(epochs):
-            for batch in np.array_split(rng.permutation(len(prepared)), max(1, len(prepared) // group)):
-                grads = [np.zeros_like(p) for p in self.params()]
-                bias_grad = 0.0
+            for batch in np.array_split(rng.permutation(len(items)), max(1, len(items) // group)):
+                parts, labels, weights = [], [], []
                 for d in batch:
-                    cs, y = prepared[d]
-                    c = cs[rng.integers(len(cs))]
+                    c, y, w = items[d]
                     if y and rng.random() < short_share:  # clean documents come in any length
                         n = int(rng.integers(4, 200))
                         at = int(rng.integers(0, max(1, len(c) - n)))
                         c = c[at : at + n]
-                    x = windows(c)
-                    z = self.kernel[np.arange(WIDTH), x].sum(axis=1) + self.bias
-                    hidden = np.maximum(z, 0)
-                    top = hidden.argmax(axis=0)
-                    pooled = np.concatenate([hidden[top, np.arange(FILTERS)], hidden.mean(axis=0)])
-                    p = 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias)))
-                    g = (p - y) / len(batch)
-                    grads[2] += g * pooled
-                    bias_grad += g
-                    back = np.broadcast_to(g * self.out[FILTERS:] / len(hidden), z.shape) * (z > 0)
-                    alive = z[top, np.arange(FILTERS)] > 0
-                    back = back.copy()
-                    back[top[alive], np.flatnonzero(alive)] += g * self.out[:FILTERS][alive]
-                    grads[1] += back.sum(axis=0)
-                    for i in range(WIDTH):
-                        onehot = np.zeros((256, len(x)), np.float32)
-                        onehot[x[:, i], np.arange(len(x))] = 1
-                        grads[0][i] += onehot @ back.astype(np.float32)
+                    parts.append(windows(c))
+                    labels.append(y)
+                    weights.append(w)
+                grads, bias_grad = self._gradients(parts, np.array(labels), np.array(weights) / np.sum(weights))
                 step += 1
                 lr = rate * (0.5 if epoch >= epochs * 2 // 3 else 1)
                 self.out_bias -= np.float32(lr * bias_grad * 5)
@@ -104,6 +92,28 @@ class ByteNet:
                     p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def _gradients(self, parts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> tuple[list[np.ndarray], float]:
+        """Gradients of the weighted log loss over chunks, given as their positions' bytes."""
+        x = np.concatenate(parts).astype(np.intp)
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        z = self.kernel[0][x[:, 0]]
+        for i in range(1, WIDTH):
+            z += self.kernel[i][x[:, i]]
+        z += self.bias
+        hidden = np.maximum(z, 0)
+        top = np.stack([hidden[a : a + n].argmax(axis=0) + a for a, n in zip(starts, sizes, strict=True)])
+        every = np.arange(FILTERS)
+        pooled = np.concatenate([hidden[top, every], np.add.reduceat(hidden, starts, axis=0) / sizes[:, None]], axis=1)
+        p = 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias)))
+        g = ((p - labels) * weights).astype(np.float32)
+        back = np.repeat(g[:, None] * self.out[FILTERS:] / sizes[:, None].astype(np.float32), sizes, axis=0) * (z > 0)
+        peak = np.where(hidden[top, every] > 0, g[:, None] * self.out[:FILTERS], 0)
+        np.add.at(back, (top, every), peak)
+        at = (x + 256 * np.arange(WIDTH)).ravel()
+        kernel = np.stack([np.bincount(at, np.repeat(back[:, f], WIDTH), 256 * WIDTH) for f in range(FILTERS)], axis=1)
+        return [kernel.reshape(WIDTH, 256, FILTERS).astype(np.float32), back.sum(axis=0), (g[:, None] * pooled).sum(axis=0).astype(np.float32)], float(g.sum())
+
 
 def windows(data: np.ndarray) -> np.ndarray:
     """Bytes under every filter position, zero-padded: ``(positions, WIDTH)``."""
@@ -154,36 +164,21 @@ class Scorer:
         return 1 / (1 + float(np.exp(-np.clip(np.mean(logits), -40, 40))))
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, sample_chunks: int = 4, seed: int = 3) -> ByteNet:
-    """Fit on a bounded sample: at most ``sample_rows`` labelled documents outside the held-out fifth, in hash order, and of each at
-    most ``sample_chunks`` chunks spread over the document. Only those chunks come to the driver. Null labels are left out; a
-    document labelled more than once takes its smallest label; without labelled rows every score is one half."""
+def learn_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, seed: int = 3) -> ByteNet:
+    """Fit on a bounded sample: at most ``sample_rows`` labelled documents outside the held-out fifth, half of each label where there
+    are so many, in hash order, each with its whole text. Null labels are left out; a document labelled more than once
+    takes its smallest label; repeated rows count each; without labelled rows every score is one half."""
     ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(crc_mod("doc_id", 5) != 0)
     half = sample_rows // 2
     pick = F.broadcast(ids.where("quality = 0").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(half).union(ids.where("quality <> 0").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows - half)))
-    chosen = docs.select("doc_id", "text").join(pick, "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-
-    def make():
-        def fn(ids, ys, texts):
-            out = ([], [], [])
-            for i, y, t in zip(ids, ys, texts, strict=True):
-                cs = list(chunks(t.encode("utf-8", "replace")))
-                for k in range(min(sample_chunks, len(cs))):
-                    out[0].append(i)
-                    out[1].append(int(y != 0))
-                    out[2].append(cs[k * len(cs) // min(sample_chunks, len(cs))])
-            return out
-
-        return fn
-
-    rows = map_columns(chosen, "doc_id long, label int, chunk binary", make).toPandas()
+    chosen = docs.select("doc_id", "text").join(pick, "doc_id").select("doc_id", F.col("quality").cast("int").alias("label"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    # rows of one id could be any number: as many as the sample holds are taken, in hash order
+    rows = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", F.xxhash64("data")).limit(sample_rows).toPandas()
     net = ByteNet()
     if not len(rows):
         net.out[:] = 0
         return net
-    rows = rows.sort_values(["doc_id", "chunk"])
-    sample = [([bytes(c) for c in g["chunk"]], int(g["label"].iloc[0])) for _, g in rows.groupby("doc_id")]
-    return net.fit(sample)
+    return net.fit([(bytes(d), int(y != 0)) for d, y in zip(rows["data"], rows["label"], strict=True)])
 
 
 def score_quality(docs: DataFrame, net: ByteNet, *, threshold: float = 0.3) -> DataFrame:
@@ -205,13 +200,19 @@ def score_quality(docs: DataFrame, net: ByteNet, *, threshold: float = 0.3) -> D
 
 
 def keep_quality(docs: DataFrame, net: ByteNet, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose whole text is predicted 1, all columns as they were."""
+    """The rows of ``docs`` whose whole text is predicted 1, all columns as they were. Null and empty texts are scored as no bytes;
+    repeated rows stay or go alike; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf("boolean")
-    def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_state("quality", bool)
         scorer = Scorer(shared.value)
-        for t in texts:
-            yield t.map(lambda x: scorer.score(x if isinstance(x, str) else None) >= threshold)
+        for column in texts:
+            good: list[bool] = []
+            for at in range(0, len(column), 512):
+                good += [scorer.score(t) >= threshold for t in column.slice(at, 512).to_pylist()]
+            yield pa.array(good, pa.bool_())
+        release_memory()
 
     return docs.where(passes(F.col("text")))
