@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_light_join, saved
+from .common import free_name, heavy_light_join, saved
 
 
 def line_key(line: Column) -> Column:
@@ -13,12 +13,10 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     key = line_key(F.col("line"))
-    # too short a line is met by chance on any site
-    long_enough = F.col("line").rlike(r"[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d}" % (min_words - 1)) if min_words > 1 else F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    return base.where(long_enough).select("doc_id", "site", "pos", F.xxhash64(key).alias("h"))
+    return base.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "site", "pos", F.xxhash64(key).alias("h"))
 
 
 def boilerplate_lines(lines: DataFrame, *, min_sites: int = 5, lg_k: int = 10, band: float = 0.5) -> DataFrame:
@@ -39,18 +37,20 @@ def boilerplate_lines(lines: DataFrame, *, min_sites: int = 5, lg_k: int = 10, b
     return saved(spread.where(F.col("sites") > high).select("h", "n", "keep").union(exact.select("h", "n", "keep")))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_words: int = 4, lg_k: int = 10) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, lg_k: int = 10) -> DataFrame:
     """``docs`` with lines of ``min_sites`` or more distinct sites removed from every place but the first (smallest id, then
     position), and ``n_removed``. Where the input has ``n_chars`` it is left as it was.
 
-    Lines are cut at line feeds and compared without outer white space; lines under ``min_words`` words stay, as chance
-    repeats. Nulls: a null text stays null, null sites are one site of their own, rows of null id stay whole. Empty texts, empty
-    tables and extra columns pass through; repeated rows of one id are cleaned alike. No row is dropped.
+    Lines are cut at line feeds and compared without outer white space; blank lines stay, all others count, however short.
+    Nulls: a null text stays null, null sites are one site of their own, rows of null id stay whole. Empty texts, empty
+    tables and extra columns pass through; where the input has a column ``n_removed`` it stays and the new one is called
+    ``n_removed_``. Repeated rows of one id are cleaned alike. No row is dropped.
     """
-    lines = saved(_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, site_col, min_words))
+    lines = saved(_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, site_col))
     bad = boilerplate_lines(lines, min_sites=min_sites, lg_k=lg_k)
     found = heavy_light_join(lines.drop("site"), bad, ["h"], "n").where((F.col("keep.doc_id") != F.col("doc_id")) | (F.col("keep.pos") != F.col("pos")))
-    cuts = found.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.collect_set("pos").alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("__cut_id"), "left").drop("__cut_id")
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(__cuts, i)), '\\n')")
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(kept)).withColumn("n_removed", F.coalesce(F.size("__cuts"), F.lit(0))).drop("__cuts")
+    cut_id, cuts, count = (free_name(docs, n) for n in ("__cut_id", "__cuts", "n_removed"))
+    found = found.groupBy(F.col("doc_id").alias(cut_id)).agg(F.collect_set("pos").alias(cuts))
+    joined = docs.join(found, docs[id_col] == found[cut_id], "left").drop(cut_id)
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{cuts}`, i)), '\\n')")
+    return joined.withColumn(text_col, F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(kept)).withColumn(count, F.coalesce(F.size(cuts), F.lit(0))).drop(cuts)
