@@ -8,6 +8,7 @@ import random
 import re
 from collections import defaultdict
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,13 @@ from .common import map_columns
 
 #: Kinds with a fixed pattern, in their order, then kinds that only the field finds.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "ssn", "iban")
+KINDS = (*BASE, "ssn", "iban", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # a run of digits without a dot behind it fails as a whole, so no start inside it need be tried
+_SECRET = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{20,}").fullmatch
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+").fullmatch
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -28,7 +31,8 @@ _DIGIT = re.compile(r"[0-9]")
 # every candidate of span_features has a digit or one of these; the word ' at ' counts only with a dot form in reach of one span
 _CUE = re.compile(r"[0-9@]|[\[(]at[\])]| dot(?= )| at(?= )", re.I)
 _DOT = re.compile(r"\w\.\w| dot |[\[(]dot[\])]", re.I)
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+# keys and tokens of letters and digits mixed are one token; a part of one is nothing by itself
+_TOKEN = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{20,}|[^\W\d_]+|[0-9]+|\s+|.", re.S)
 
 
 def luhn(digits: str) -> bool:
@@ -75,32 +79,47 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ---- the field -------------------------------------------------------------------------------------------------------
 
 #: Words before a span that the field may use.
-CUE_WORDS = frozenset("tel phone call mobile fax cell telefon card visa account iban ssn social security mail email write ip host server address order version price invoice date page id no".split())
-MAX_TOKENS, MAX_CHARS = 24, 48
+CUE_WORDS = frozenset("tel phone call mobile fax cell telefon card visa account iban ssn social security mail email write ip host server address order version price invoice date page id no token key secret password bearer commit".split())
+#: Bounds of a segment; numbers that are not part of an account, an address or a key have at most as many digits as a card.
+MAX_TOKENS, MAX_CHARS, MAX_DIGITS = 24, 72, 19
 
 
 class Region:
-    """Tokens of a stretch of text and the candidate segments in it, each with its whole-span features."""
+    """Tokens of a stretch of text and the candidate segments in it, each with its whole-span features. ``taken`` has the spans already
+    found, apart from each other and in order; no segment touches them."""
 
     def __init__(self, text: str, start: int, end: int, taken: list[tuple[int, int]] = ()):
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
         self.spans: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)  # by end: (begin, features)
+        shut, at = [False] * len(self.tokens), 0  # tokens that a span already found touches
+        for t, (a, b) in enumerate(self.tokens):
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            shut[t] = at < len(taken) and taken[at][0] < b
         kind = [text[a].isspace() and "s" or ("d" if "0" <= text[a] <= "9" else "a" if text[a].isalpha() else "p") for a, _ in self.tokens]
+        # running counts over tokens rule out most segments before their features are made
+        words = [text[a:b] for a, b in self.tokens]
+        digits = [0, *accumulate(sum("0" <= c <= "9" for c in w) for w in words)]
+        letters = [0, *accumulate(any(c.isalpha() for c in w) for w in words)]
+        ats = [0, *accumulate(w == "@" or w.lower() == "at" for w in words)]
         for i, (a, _) in enumerate(self.tokens):
-            if kind[i] == "s" or (kind[i] == "p" and text[a] not in "+("):
+            if shut[i] or kind[i] == "s" or (kind[i] == "p" and text[a] not in "+("):
                 continue
             for j in range(i, min(len(self.tokens), i + MAX_TOKENS)):
                 b = self.tokens[j][1]
-                if b - a > MAX_CHARS or "\n" in text[self.tokens[j][0] : b]:
+                if shut[j] or b - a > MAX_CHARS or "\n" in text[self.tokens[j][0] : b]:
                     break
-                if kind[j] in "ps":
+                if kind[j] in "ps" or (ats[j + 1] == ats[i] and not self._plain(letters[j + 1] - letters[i], digits[j + 1] - digits[i], words[i], i == j)):
                     continue
-                if any(x < b and a < y for x, y in taken):
-                    break
                 found = span_features(text, a, b)
                 if found:
                     self.spans[j + 1].append((i, found))
 
+    @staticmethod
+    def _plain(letters: int, digits: int, first: str, single: bool) -> bool:
+        """Whether a segment without an at sign can be personal data: a number of 7 to 19 digits, an account, a secret."""
+        return 7 <= digits <= MAX_DIGITS if not letters else single or (first[:2].isupper() and first[:2].isalpha())
+
 
 def span_features(text: str, a: int, b: int) -> list[str]:
     """Features of a whole candidate span; none where it can't be personal data."""
@@ -110,19 +129,20 @@ def span_features(text: str, a: int, b: int) -> list[str]:
     low = s.lower()
     mail = "@" in s or ("[at]" in low or "(at)" in low or " at " in low) and (" dot " in low or "[dot]" in low or "(dot)" in low or re.search(r"\w\.\w", s) is not None)
     iban = bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}", s))
-    if letters and not mail and not iban:
+    secret = _SECRET(s) is not None
+    if letters and not mail and not iban and not secret:
         return []
-    if not mail and len(digits) < 7:
+    if not mail and not iban and not secret and not 7 <= len(digits) <= MAX_DIGITS:
         return []
     groups = re.findall(r"[0-9]+", s)
     left, right = text[a - 1 : a] if a else "", text[b : b + 1]
     out = ["bias", f"digits={min(len(digits), 22)}", f"groups={len(groups)}"]
     if not mail:
-        out.append("form=" + re.sub(r"[0-9]+", lambda m: str(min(9, len(m[0]))), s if not iban else "iban"))
+        out.append("form=" + re.sub(r"[0-9]+", lambda m: str(min(9, len(m[0]))), "secret" if secret else s if not iban else "iban"))
         out.append("seps=" + "".join(sorted({c for c in s if not c.isalnum()})))
     for name, on in (
         ("mail", mail), ("plainmail", "@" in s and " " not in s), ("mailform", mail and re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]| at ) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]| dot ) ?[\w-]+)+", s, re.I) is not None),
-        ("iban", iban), ("plus", s[0] == "+"), ("paren", s[0] == "("), ("luhn", len(digits) >= 12 and luhn(digits)),
+        ("iban", iban), ("secret", secret), ("hex", secret and _HEX(s) is not None), ("quoted", left in ("'", '"') and left == right), ("plus", s[0] == "+"), ("paren", s[0] == "("), ("luhn", len(digits) >= 12 and luhn(digits)),
         ("ip", len(groups) == 4 and all(int(g) <= 255 for g in groups if len(g) < 5) and s.count(".") == 3),
         ("ssn", re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s) is not None), ("phone10", re.fullmatch(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}", s) is not None),
         ("intl", re.fullmatch(r"00[0-9]{2}(?:[ -][0-9]{2,5}){2,4}", s) is not None),
@@ -230,12 +250,14 @@ def examples(n: int = 900, seed: int = 17) -> list[tuple[str, list[tuple[int, in
         "card": [lambda: card(True)],
         "phone": [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"0049 {num(3)} {num(4)} {num(2)}", lambda: f"00{r.randint(10, 99)}-{num(3)}-{num(5)}", lambda: f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{num(2)} {num(3)} {num(3)} {num(3)}"],
         "ssn": [lambda: f"{num(3)}-{num(2)}-{num(4)}"],
+        "secret": [lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), lambda: "".join(r.choice("0123456789ABCDEF") for _ in range(r.choice([32, 40]))), lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(24, 44)))],
         "iban": [lambda: f"{r.choice(['DE', 'FR', 'ES'])}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", lambda: f"DE{num(20)}"],
     }
     clean = [
         lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"{num(2)}/{num(2)}/20{num(2)} {num(2)}:{num(2)}", lambda: f"{num(1)},{num(3)}.{num(2)}", lambda: f"{r.randint(1, 9)}.{num(1)}.{num(2)}", lambda: card(False), lambda: num(r.choice([7, 8, 9, 10, 11])),
         lambda: f"{r.randint(300, 999)}.{num(3)}.{num(2)}.{num(1)}", lambda: f"{num(4)} {num(4)}", lambda: f"{num(3)}-{num(4)}-{num(3)}-{num(2)}", lambda: f"{word()}@{word()}", lambda: f"password={num(2)}b{num(3)}f{num(6)}", lambda: f"{num(4)}-{num(4)}", lambda: f"{word()} at {word()}", lambda: " ".join(num(r.randint(1, 4)) for _ in range(r.randint(3, 8))),
         lambda: f"{num(5)}-{num(5)}-{num(5)}", lambda: f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(8)}-{num(4)}-{num(4)}", lambda: num(r.choice([12, 14, 18, 20])), lambda: f"{num(3)} {num(3)} {num(4)}",
+        lambda: "commit " + "".join(r.choice("0123456789abcdef") for _ in range(40)),
     ]
     out = []
     for _ in range(n):
@@ -245,12 +267,15 @@ def examples(n: int = 900, seed: int = 17) -> list[tuple[str, list[tuple[int, in
             if r.random() < 0.5:
                 kind = r.choice(KINDS)
                 s = r.choice(forms[kind])()
+                if kind == "secret":  # what makes a run of letters and digits a secret is the word before it
+                    name = r.choice(["token", "TOKEN", "key", "secret", "password", "Bearer"])
+                    text += name + r.choice([' = "', "=", ": ", '="', " "])
                 gold.append((len(text), len(text) + len(s), kind))
             else:
                 s = r.choice(clean)()
                 if s.replace("-", "").replace(" ", "").isdigit() and luhn(re.sub(r"\D", "", s)) and 12 <= sum(map(str.isdigit, s)) <= 19:
                     s = "none"
-            text += s + r.choice([" ", ". ", ", ", " "])
+            text += s + ('"' if text[-1:] == '"' else "") + r.choice([" ", ". ", ", ", " "])
         out.append((text + word(), gold))
     return out
 
@@ -300,18 +325,27 @@ def regions(text: str, taken: list[tuple[int, int]], before: int = 40, after: in
 def find_spans(text: str, field: SemiMarkovField) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Fixed-pattern spans, and all spans: the field adds segments that touch none of them."""
     base = base_spans(text)
-    taken = [(a, b) for a, b, _ in base]
-    added = []
+    taken: list[tuple[int, int]] = []
+    for a, b, _ in base:  # in order of their starts; spans of two kinds may overlap
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    added, at = [], 0
     for a, b in regions(text, taken):
-        near = [t for t in taken if t[0] < b and a < t[1]]
-        added += field.decode(Region(text, a, b, near))
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        end = at
+        while end < len(taken) and taken[end][0] < b:
+            end += 1
+        added += field.decode(Region(text, a, b, taken[at:end]))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def detect_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, the counts of fixed-pattern spans, and ``base`` and ``spans`` as arrays of (kind, start, end) in
-    code points, end exclusive. Null and empty texts have none; long texts are read whole, in regions of bounded width around cues;
-    repeated rows are treated alike; other columns are ignored; an empty table gives no rows."""
+    code points, end exclusive. Null and empty texts have none; long texts are read whole, in regions around cues, in time linear
+    in their length; repeated rows are treated alike; other columns are ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(trained_field())
 
     def make():
