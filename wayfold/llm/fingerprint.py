@@ -138,9 +138,15 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     number, tables = _ranges(rows, "doc_id", range_rows)
     rows = rows.withColumn("range", number).join(F.broadcast(tables.select(F.col("range").alias("r"), "top", "above")), F.col("range") == F.col("r"), "left")
-    is_top = F.col("doc_id").eqNullSafe(F.col("top"))
+    is_top = F.coalesce(F.col("doc_id") == F.col("top"), F.lit(False))
+    # rows of null id are a range without a largest id; the one that comes first is sent to the range above
+    unnamed = rows.where("doc_id IS NULL").groupBy("above").agg(F.min("text").alias("text"))
+    unnamed = unnamed.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("above").alias("range"), F.lit(1).alias("copy"))
+    some = rows.where("doc_id IS NULL").limit(1).count() > 0
     places = F.when(is_top, F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("copy")), F.struct(F.col("above").alias("range"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("copy"))))
     rows = rows.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", F.col("place.range").alias("range"), F.col("place.copy").alias("copy"))
+    if some:
+        rows = rows.union(unnamed)
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
     n = F.length("text")
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
