@@ -7,28 +7,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from ..operators.graph import numbered
+from .common import heavy_light_join, saved, word_count
 
 #: A group of equal source and length is dealt over so many seeded slots; a slot is ranked by itself.
 SLOTS = 256
 
 
-def share_targets(sizes: dict[str | None, int], weights: tuple[float, ...], budget: float, ceiling: float) -> dict[str | None, float]:
-    """Targets by weight; what exceeds ``ceiling`` times a source's size is shared again among the others by weight."""
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    targets: dict[str | None, float] = {}
-    open_names, left = [s for s in names if sizes[s] > 0], float(budget)
-    while open_names:
-        total = sum(weight[s] for s in open_names)
-        over = [s for s in open_names if left * weight[s] / total > ceiling * sizes[s]]
-        if not over:
-            targets |= {s: left * weight[s] / total for s in open_names}
+def with_targets(sources: DataFrame, weights: tuple[float, ...], budget_share: float, ceiling: float) -> DataFrame:
+    """``sources(skey, source_size)`` with their ``target``: one level times the weight, or ``ceiling`` times the size where that is
+    less. The level rises in rounds, each of which shares again what the full ones can't take; a round brings two sums to
+    the driver, whatever the number of sources."""
+    place = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
+    rows = saved(numbered(sources, "skey", "place").withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), place)))
+    budget = budget_share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    most = F.col("source_size") * float(ceiling)
+    level, full = 0.0, -1
+    while True:
+        over = most < F.col("weight") * level
+        sums = rows.where("source_size > 0").agg(F.count_if(over), F.sum(F.when(over, most)), F.sum(F.when(~over, F.col("weight")))).first()
+        if sums[0] == full or not sums[2]:
             break
-        targets |= {s: float(ceiling * sizes[s]) for s in over}
-        left -= sum(targets[s] for s in over)
-        open_names = [s for s in open_names if s not in targets]
-    return {s: targets.get(s, 0.0) for s in names}
+        full, level = sums[0], (budget - (sums[1] or 0.0)) / sums[2]
+    return rows.withColumn("target", F.when(F.col("source_size") == 0, 0.0).when(most < F.col("weight") * level, most).otherwise(F.least(F.col("weight") * level, most)))
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 14) -> np.ndarray:
@@ -86,38 +87,37 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``budget_share`` of all sizes, none above ``ceiling`` times its size. Whole passes over a source come first; the rest
     of its target is fitted over the counts of exact lengths, and of each length that many documents are selected in seeded
     order. Returns ``doc_id, size, source, source_size, target, taken`` and the columns in ``keep``, one row per input row;
-    ``taken`` counts repeats. Only one row per source comes to the driver (sources are a dimension); a source's histogram of
+    ``taken`` counts repeats. Sources may be any number (hosts, say): their table is joined, not collected; a source's histogram of
     lengths is one task's group. Null and empty texts have size 0 and are never taken; repeated rows count each; ties of
-    the seeded order fall to the smaller id; an empty table gives no rows.
+    the seeded order fall to the smaller id; an empty table gives no rows. A column in ``keep`` named as one of the six
+    is returned with an underscore behind its name; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
+    own = ("doc_id", "size", "source", "source_size", "target", "taken")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
+    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SLOTS)))
-    spots = saved(rows.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n")))
-    sizes = {r["source"]: int(r["s"]) for r in spots.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
-    targets = share_targets(sizes, weights, budget_share * sum(sizes.values()), ceiling)
-    plan = [(s, sizes[s], float(targets[s]), int(targets[s] // sizes[s]) if sizes[s] else 0) for s in targets]
-    plan = [(s, z, t, e, round(t - e * z)) for s, z, t, e in plan]
-    spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "source string, source_size long, target double, passes long, rest long")
-    rests = {s: r for s, _, _, _, r in plan}
+    if not keep:
+        rows = saved(rows)  # a few numbers a row: words are counted once
+    spots = saved(rows.groupBy("skey", "size", "slot").agg(F.count(F.lit(1)).alias("n")))
+    sources = spots.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_rows"))
+    plan = with_targets(sources, weights, budget_share, ceiling)
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = saved(plan.select("skey", "source_size", "target", "n_rows", passes.alias("passes")).withColumn("rest", F.bround(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        source = group["source"].iloc[0]
         group = group.sort_values("size")
-        take = fit_counts(group["size"].to_numpy(), group["n"].to_numpy(), rests[None if pd.isna(source) else source])
-        return pd.DataFrame({"source": group["source"], "size": group["size"], "chosen": take})
+        take = fit_counts(group["size"].to_numpy(), group["n"].to_numpy(), int(group["rest"].iloc[0]))
+        return pd.DataFrame({"skey": group["skey"], "size": group["size"], "chosen": take})
 
-    by_length = spots.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n"))
-    chosen = by_length.groupBy("source").applyInPandas(fit, "source string, size long, chosen long").where("chosen > 0")
-    w = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    quota = spots.alias("s").join(chosen.alias("c"), F.expr("s.source <=> c.source AND s.size = c.size")).select("s.source", "s.size", "slot", "n", "chosen")
+    by_length = spots.where("size > 0").groupBy("skey", "size").agg(F.sum("n").alias("n")).join(plan.select("skey", "rest"), "skey")
+    chosen = by_length.groupBy("skey").applyInPandas(fit, "skey string, size long, chosen long").where("chosen > 0")
+    w = Window.partitionBy("skey", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    quota = spots.join(chosen, ["skey", "size"])
     quota = quota.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("quota", F.least("n", F.col("chosen") - F.col("before"))).where("quota > 0")
-    quota = saved(quota.select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("slot").alias("q_slot"), "quota"))
+    quota = saved(quota.select("skey", "size", "slot", "quota"))
     # a slot holds 1/256 of even the most frequent length, so the join and the ranking stay even
-    joined = rows.join(quota, (F.col("source").eqNullSafe(F.col("q_source"))) & (F.col("size") == F.col("q_size")) & (F.col("slot") == F.col("q_slot")), "left")
-    order = Window.partitionBy("source", "size", "slot").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    joined = joined.withColumn("extra", F.when(F.row_number().over(order) <= F.col("quota"), 1).otherwise(0))
-    small = F.broadcast(plan_df.withColumnRenamed("source", "p_source"))
-    out = joined.join(small, F.col("source").eqNullSafe(F.col("p_source")))
+    order = Window.partitionBy("skey", "size", "slot").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
+    joined = rows.join(quota, ["skey", "size", "slot"], "left").withColumn("extra", F.when(F.row_number().over(order) <= F.col("quota"), 1).otherwise(0))
+    out = heavy_light_join(joined, plan, ["skey"], "n_rows")
     taken = F.when(F.col("size") > 0, F.col("size") * (F.col("passes") + F.col("extra"))).otherwise(0)
-    return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+    return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *(F.col("kept")[c].alias(f"{c}_" if c.lower() in own else c) for c in keep))
