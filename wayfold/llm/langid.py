@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,12 +14,18 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, map_columns
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+@lru_cache(maxsize=1)
+def _letters() -> Callable[[str], list[str]]:
+    """Finds runs of letters: the word characters of the pattern language without its digits, the underscore, and numerals that
+    are neither (fractions, raised and circled digits, letter numbers)."""
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if not c.isalpha() and c.isalnum() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(map(re.escape, odd))}]+").findall
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower case."""
-    return _LETTERS.findall(text.lower())
+    return _letters()(text.lower())
 
 
 class WordFirstModel:
