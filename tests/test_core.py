@@ -21,6 +21,43 @@ def test_replay_holds(spark):
     assert rows.count() > 0 and rows.where("NOT valid").count() == 0
 
 
+def test_paths_over_many_regions_equal_dijkstra(spark):
+    """Random costs over regions of 4 by 4 tiles, two layers and a hub, against a heap; replayed step by step."""
+    import heapq
+
+    r = random.Random(8)
+    node = lambda: (r.randrange(24) | r.randrange(24) << 15) * 2 + r.randrange(2)
+    some = [node() for _ in range(150)]
+    edges = {(r.choice(some), r.choice(some)): r.randint(1, 9) for _ in range(420)} | {(s, -1): 0 for s in some[:5]} | {(-1, d): 7 for d in some[50:60]}
+    starts = {0: some[0], 1: some[7]}
+    rows = spark.createDataFrame([(q, s, d, w, "walk") for q in starts for (s, d), w in edges.items()], "query_id long, s long, d long, w long, step string")
+    found = G.shortest_paths(rows, spark.createDataFrame(list(starts.items()), "query_id long, node long"), region=4)
+    got = {(x["query_id"], x["node"]): x["cost"] for x in found.collect()}
+    want = {}
+    for q, s in starts.items():
+        heap = [(0, s)]
+        while heap:
+            c, n = heapq.heappop(heap)
+            if (q, n) not in want:
+                want[q, n] = c
+                for (a, b), w in edges.items():
+                    if a == n:
+                        heapq.heappush(heap, (c + w, b))
+    assert got == want
+    targets = [(q, n) for q, n in want if n >= 0 and want[q, n]][:40]
+    steps = G.route_steps(G.predecessors(rows, found), spark.createDataFrame(targets, "query_id long, target long"))
+    routes = {}
+    for x in steps.orderBy("query_id", "target", "step_no").collect():
+        routes.setdefault((x["query_id"], x["target"]), []).append((x["step_no"], x["node"], x["cost"]))
+    assert set(routes) == set(targets)
+    for (q, n), route in routes.items():
+        at, cost = starts[q], 0
+        for i, (no, node_, c) in enumerate(route):
+            assert no == i + 1 and edges[at, node_] == c - cost
+            at, cost = node_, c
+        assert at == n and cost == want[q, n]
+
+
 def one(spark, expr):
     return spark.range(1).select(expr.alias("v")).first()["v"]
 

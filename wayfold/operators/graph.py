@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -120,27 +118,119 @@ def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``query_id, node, cost, prev`` of every node reachable from a query's start, over the query's state edges
-    ``query_id, s, d, w, step``. One group per query: queries run side by side, the graph of one fits a worker."""
-
-    def solve(key, group: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list] = {}
-        for s, d, w in zip(group["s"].to_numpy(), group["d"].to_numpy(), group["w"].to_numpy(), strict=True):
-            out.setdefault(int(s), []).append((int(d), int(w)))
-        cost, prev, heap = {}, {}, [(0, int(n), None) for n in first["node"]]
-        heapq.heapify(heap)
-        while heap:
-            c, node, came = heapq.heappop(heap)
-            if node in cost:
-                continue
-            cost[node], prev[node] = c, came
-            for d, w in out.get(node, ()):
-                if d not in cost:
-                    heapq.heappush(heap, (c + w, d, node))
-        return pd.DataFrame({"query_id": key[0], "node": list(cost), "cost": list(cost.values()), "prev": pd.array([prev[n] for n in cost], dtype="Int64")})
-
-    return edges.groupBy("query_id").cogroup(starts.groupBy("query_id")).applyInPandas(solve, "query_id long, node long, cost long, prev long")
+def shortest_paths(edges: DataFrame, starts: DataFrame, *, per_tile: int = 2, region: int = 64, rounds: int = 1000) -> DataFrame:
+    """``query_id, node, cost`` of every node reachable from a query's starts ``query_id, node`` over the state edges ``query_id, s, d, w``.
+
+    A node is ``per_tile`` times a tile and a layer, or a negative number by itself. Regions of ``region`` squared tiles are solved by themselves,
+    all side by side, from the costs that reached them; what leaves a region is the next round's start, and only regions that
+    got a lower cost are solved again. A group is one region's edges, whatever the size of the world, and rounds count the
+    regions that a shortest path enters.
+    """
+
+    def block(node):
+        tile = F.floor(node / per_tile)
+        return F.when(node < 0, node).otherwise(S.pack_tile(F.floor(S.tile_x(tile) / region), F.floor(S.tile_y(tile) / region), F.lit(0)))
+
+    keyed = edges.select(F.col("query_id").cast("long").alias("query_id"), F.col("s").cast("long").alias("s"), F.col("d").cast("long").alias("d"), F.col("w").cast("long").alias("w"))
+    keyed = saved(keyed.select("query_id", block(F.col("s")).alias("block"), block(F.col("d")).alias("to"), "s", "d", "w"))
+    far = np.iinfo(np.int64).max // 4
+
+    def relax(key, inside: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        s, d, w, stays = inside["s"].to_numpy(), inside["d"].to_numpy(), inside["w"].to_numpy(), inside["to"].to_numpy() == key[1]
+        names = np.unique(np.concatenate([s, d[stays], rows["node"].to_numpy()]))
+        before, cost = np.full(len(names), far), np.full(len(names), far)
+        old = ~rows["fresh"].to_numpy(dtype=bool)
+        np.minimum.at(before, np.searchsorted(names, rows["node"].to_numpy()[old]), rows["cost"].to_numpy()[old])
+        np.minimum.at(cost, np.searchsorted(names, rows["node"].to_numpy()), rows["cost"].to_numpy())
+        a, b, step = np.searchsorted(names, s), np.searchsorted(names, d[stays]), w[stays]
+        inner = a[stays]
+        live = cost < before  # nodes whose lower cost is still to go on
+        while live.any():
+            use = live[inner]
+            new = cost.copy()
+            np.minimum.at(new, b[use], cost[inner[use]] + step[use])
+            live, cost = new < cost, new
+        better = cost < before
+        out = better[a] & ~stays
+        return pd.DataFrame({
+            "query_id": key[0], "block": np.concatenate([np.full(int(better.sum()), key[1]), inside["to"].to_numpy()[out]]), "node": np.concatenate([names[better], d[out]]),
+            "cost": np.concatenate([cost[better], cost[a[out]] + w[out]]), "settled": np.repeat([True, False], [int(better.sum()), int(out.sum())]),
+        })
+
+    spark = edges.sparkSession
+    fresh = starts.select(F.col("query_id").cast("long").alias("query_id"), block(F.col("node")).alias("block"), F.col("node").cast("long").alias("node"), F.lit(0).cast("long").alias("cost"))
+    ddl = "query_id long, block long, node long, cost long, settled boolean"
+    solved: list[DataFrame] = []
+
+    def labels() -> DataFrame:
+        rows = spark.createDataFrame([], ddl)
+        for part in solved:
+            rows = rows.union(part)
+        return rows.where("settled").groupBy("query_id", "block", "node").agg(F.min("cost").alias("cost"))
+
+    for n in range(rounds):
+        if n % 8 == 7:  # few parts to read
+            solved = [saved(labels().withColumn("settled", F.lit(True)).select("query_id", "block", "node", "cost", "settled"))]
+        fresh = saved(fresh)
+        if not fresh.limit(1).count():
+            return labels().select("query_id", "node", "cost")
+        touched = fresh.select("query_id", "block").distinct()
+        known = labels().join(touched, ["query_id", "block"], "left_semi").withColumn("fresh", F.lit(False))
+        rows = known.unionByName(fresh.withColumn("fresh", F.lit(True)))
+        inside = keyed.join(touched, ["query_id", "block"], "left_semi")
+        solved.append(saved(inside.groupBy("query_id", "block").cogroup(rows.groupBy("query_id", "block")).applyInPandas(relax, ddl)))
+        sent = solved[-1].where("NOT settled").groupBy("query_id", "block", "node").agg(F.min("cost").alias("cost"))
+        at = labels().withColumnRenamed("cost", "have")
+        fresh = sent.join(at, ["query_id", "block", "node"], "left").where("have IS NULL OR cost < have").select("query_id", "block", "node", "cost")
+    raise RuntimeError("paths did not settle")
+
+
+def predecessors(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """``query_id, node, prev, step, cost``: of the edges ``query_id, s, d, w, step`` that end a shortest path at ``node``, the one from the smallest
+    ``prev``. Starts have none. Edges of cost 0 must not make a circle."""
+    side = lambda n, c: costs.select("query_id", F.col("node").alias(n), F.col("cost").alias(c))
+    tight = edges.join(side("s", "cs"), ["query_id", "s"]).join(side("d", "cost"), ["query_id", "d"]).where("cs + w = cost AND (w > 0 OR s <> d)")
+    best = tight.groupBy("query_id", "d").agg(F.min(F.struct("s", "step", "cost")).alias("e"))
+    return best.select("query_id", F.col("d").alias("node"), F.col("e.s").alias("prev"), "e.step", "e.cost")
+
+
+def route_steps(prev: DataFrame, targets: DataFrame) -> DataFrame:
+    """``query_id, target, step_no, step, node, cost`` of the routes to ``targets(query_id, target)``, in order from 1; activations are no steps of a
+    route. Ancestors at all distances come by doubling, so rounds grow with the logarithm of the longest route."""
+    prev = saved(prev)
+    jump = prev.select("query_id", "node", F.col("prev").alias("up"))
+    rows = targets.select("query_id", "target", F.col("target").alias("node"), F.lit(0).cast("long").alias("back"))
+    reach = 1
+    while jump.limit(1).count():
+        rows = saved(rows.union(rows.join(jump, ["query_id", "node"]).select("query_id", "target", F.col("up").alias("node"), (F.col("back") + reach).alias("back"))))
+        jump = saved(jump.join(jump.select("query_id", F.col("node").alias("up"), F.col("up").alias("top")), ["query_id", "up"]).select("query_id", "node", F.col("top").alias("up")))
+        reach *= 2
+    steps = rows.join(prev.drop("prev"), ["query_id", "node"]).where("step <> 'activate'")
+    number = F.row_number().over(Window.partitionBy("query_id", "target").orderBy(F.desc("back")))
+    return steps.select("query_id", "target", number.cast("long").alias("step_no"), "step", "node", "cost")
+
+
+def walking_steps(flags: DataFrame, origins: DataFrame) -> DataFrame:
+    """``s, d, kind`` of all steps of cost 1 over ``flags(tile, x, y, p, north, east)``: ``walk`` in the eight directions of each tile's mask; ``enter`` from
+    a walkable tile over a side to one that is not walkable but an origin of transports ``origins(origin)``; ``exit`` from a tile that
+    is not walkable to a walkable neighbour, over a corner only where both sides beside it are walkable."""
+    ways = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # the mask's bits, clockwise from north
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for i, (dx, dy) in enumerate(ways)))
+    # open sides as bits: own north and east, the north of the tile below, the east of the tile to the left
+    masks = walk_masks(flags).join(flags.select("tile", "x", "y", "p"), "tile").withColumn("free", F.col("mask").bitwiseAND(F.lit(0b01010101)) != 0)
+    masks = saved(masks.select("tile", "x", "y", "p", "mask", "free"))
+    near = masks.withColumn("o", F.explode(offsets)).where("x + o.dx BETWEEN 0 AND 32767 AND y + o.dy BETWEEN 0 AND 32767")
+    near = near.select(F.col("tile").alias("s"), "free", "mask", F.col("o.i").alias("i"), S.pack_tile(F.col("x") + F.col("o.dx"), F.col("y") + F.col("o.dy"), F.col("p")).alias("d"))
+    walk = near.where("free AND (mask & shiftleft(1, i)) <> 0").select("s", "d", F.lit("walk").alias("kind"))
+    side = near.where("i % 2 = 0")
+    shut = masks.where("NOT free").select(F.col("tile").alias("d")).join(origins.select(F.col("origin").alias("d")).distinct(), "d", "left_semi")
+    enter = side.where("free").join(shut, "d").select("s", "d", F.lit("enter").alias("kind"))
+    open_tiles = masks.where("free").select(F.col("tile").alias("d"))
+    out = near.where("NOT free").join(open_tiles, "d").select("s", "d", "i")
+    around = out.groupBy("s").agg(F.collect_set("i").alias("ways"))  # at most eight
+    beside = lambda k: F.array_contains("ways", (F.col("i") + k) % 8)
+    out = out.join(around, "s").where((F.col("i") % 2 == 0) | (beside(1) & beside(7))).select("s", "d", F.lit("exit").alias("kind"))
+    return walk.union(enter).union(out)
 
 
 def state_edges(walk: DataFrame, local: DataFrame, banks: DataFrame | None = None, tiles: DataFrame | None = None, globals_: DataFrame | None = None) -> DataFrame:

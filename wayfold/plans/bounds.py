@@ -29,7 +29,7 @@ def labelled(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     on = tr.join(t.select(col("tile").alias("origin")), "origin", "left_semi").join(t.select(col("tile").alias("destination")), "destination", "left_semi")
     back = walk.select(col("d").alias("s"), col("s").alias("d"), F.lit(1).cast("long").alias("w")).union(on.groupBy("destination", "origin").agg(F.min("duration")))
     starts = target.select(F.lit(0).cast("long").alias("query_id"), col("tile").alias("node"))
-    labels = G.saved(G.shortest_paths(back.withColumn("query_id", F.lit(0).cast("long")), starts).select(col("node").alias("tile"), "cost"))
+    labels = G.saved(G.shortest_paths(back.withColumn("query_id", F.lit(0).cast("long")), starts, per_tile=1).select(col("node").alias("tile"), "cost"))
     sites = target.union(D.banks(spark, sf).select("tile")).union(tr.select("origin")).distinct()
     return t, comp, labels, sites
 

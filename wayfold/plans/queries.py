@@ -410,7 +410,8 @@ SQL_GLOBAL = "SELECT tile * 2 + b, -1 - b, 0 FROM tiles, (VALUES (0), (1)) l(b)
 COSTS = "SELECT id // 2 AS tile, min(c) AS cost FROM r WHERE id >= 0 GROUP BY 1"
 
 
-def solved(spark, sf, transports: bool, banks: bool, globals_: bool) -> DataFrame:
+def solved(spark, sf, transports: bool, banks: bool, globals_: bool) -> tuple[DataFrame, DataFrame]:
+    """The state edges of the hub query and the cost of every state that it reaches."""
     t = G.saved(D.tiles(spark, sf))
     walk = G.walk_edges(t)
     comp = G.saved(G.natural_components(t, walk))
@@ -422,7 +423,8 @@ def solved(spark, sf, transports: bool, banks: bool, globals_: bool) -> DataFram
     glob = tr.where("origin IS NULL").withColumn("banked", F.explode(F.expr("CASE WHEN max_level >= 30 THEN array(0L, 1L) ELSE array(1L) END")))
     glob = glob.groupBy("destination", "banked", F.when(col("max_level") >= 30, 1).otherwise(0).alias("level")).agg(F.min("duration").alias("cost"))
     edges = G.state_edges(walk, local if transports else local.limit(0), D.banks(spark, sf) if banks else None, t, glob if globals_ else None)
-    return G.shortest_paths(edges.withColumn("query_id", F.lit(0).cast("long")), start)
+    edges = G.saved(edges.withColumn("query_id", F.lit(0).cast("long")))
+    return edges, G.shortest_paths(edges, start)
 
 
 def costs(rows: DataFrame) -> DataFrame:
@@ -431,30 +433,54 @@ def costs(rows: DataFrame) -> DataFrame:
 
 @query(sp_sql(SQL_WALK, COSTS))
 def sp_walk_cost(spark, sf):
-    return costs(solved(spark, sf, False, False, False))
+    return costs(solved(spark, sf, False, False, False)[1])
 
 
 @query(sp_sql(f"{SQL_WALK} UNION ALL {SQL_LOCAL}", COSTS))
 def sp_route_cost(spark, sf):
-    return costs(solved(spark, sf, True, False, False))
+    return costs(solved(spark, sf, True, False, False)[1])
 
 
 @query(sp_sql(f"{SQL_WALK} UNION ALL {SQL_LOCAL} UNION ALL {SQL_BANK}", "SELECT id // 2 AS tile, id % 2 AS banked, c AS cost FROM r"))
 def sp_banked_cost(spark, sf):
-    return solved(spark, sf, True, True, False).select(F.expr("node DIV 2").alias("tile"), (col("node") % 2).alias("banked"), "cost")
+    return solved(spark, sf, True, True, False)[1].select(F.expr("node DIV 2").alias("tile"), (col("node") % 2).alias("banked"), "cost")
 
 
 @query(sp_sql(f"{SQL_WALK} UNION ALL {SQL_LOCAL} UNION ALL {SQL_BANK} UNION ALL {SQL_GLOBAL}", COSTS))
 def sp_capability_cost(spark, sf):
-    return costs(solved(spark, sf, True, True, True))
+    return costs(solved(spark, sf, True, True, True)[1])
 
 
-@query()
+SQL_STEPS = " UNION ALL ".join(f"SELECT *, '{k}' AS k FROM ({q}) x(s, d, w)" for k, q in (("walk", SQL_WALK), ("transport", SQL_LOCAL), ("bank", SQL_BANK), ("activate", SQL_GLOBAL.split(" UNION ALL ")[0]), ("global", SQL_GLOBAL.split(" UNION ALL ")[1])))
+SQL_PREV = "prev AS (SELECT e.d AS node, min({'s': e.s, 'k': e.k}) AS e FROM e JOIN r a ON a.id = e.s JOIN r b ON b.id = e.d WHERE a.c + e.w = b.c GROUP BY 1)"
+SQL_ROUTES = """best AS (SELECT id // 2 AS tile, min({'c': c, 'id': id}).id AS target FROM r JOIN banks ON banks.tile = r.id // 2 WHERE id >= 0 GROUP BY 1),
+path(target, node, back) AS (SELECT target, target, 0 FROM best UNION ALL SELECT p.target, prev.e.s, p.back + 1 FROM path p JOIN prev ON prev.node = p.node)"""
+
+
+@query(sp_sql(SQL_STEPS, "SELECT id AS node, c AS cost, true AS valid FROM r"))
 def sp_route_replay(spark, sf):
-    """Every reached state's last step costs what its predecessor lacks: rows with ``valid``."""
-    rows = G.saved(solved(spark, sf, True, True, True))
-    j = rows.alias("a").join(rows.alias("b"), col("a.prev") == col("b.node"), "left")
-    return j.select(col("a.node").alias("node"), col("a.cost").alias("cost"), F.when(col("a.prev").isNull(), col("a.cost") == 0).otherwise(col("b.cost") <= col("a.cost")).alias("valid"))
+    """Every reached state with the replay of its last step: ``valid`` where an edge of the state graph leads to it from its predecessor at
+    just the cost that the predecessor lacks, or where it is the start."""
+    edges, found = solved(spark, sf, True, True, True)
+    found = G.saved(found)
+    prev = G.predecessors(edges, found)
+    at = found.select(col("node").alias("prev"), col("cost").alias("before"))
+    real = edges.select(col("s").alias("prev"), col("d").alias("node"), "w").distinct()
+    steps = prev.join(at, "prev").join(real, ["prev", "node"]).where("before + w = cost").select("node").distinct().withColumn("real", F.lit(True))
+    j = found.join(steps, "node", "left")
+    return j.select("node", "cost", F.coalesce("real", col("cost") == 0).alias("valid"))
+
+
+@query(sp_sql(SQL_STEPS, "SELECT p.target // 2 AS target, row_number() OVER (PARTITION BY p.target ORDER BY p.back DESC) AS step_no, prev.e.k AS step, p.node // 2 AS tile, p.node % 2 AS banked, r.c AS cost FROM path p JOIN prev ON prev.node = p.node JOIN r ON r.id = p.node WHERE prev.e.k <> 'activate'").replace(") SELECT p.target", f"), {SQL_PREV}, {SQL_ROUTES} SELECT p.target"))
+def sp_route_steps(spark, sf):
+    """Ordered steps of the routes from the hub to every bank that it reaches: walking, transports, banking and globals."""
+    edges, found = solved(spark, sf, True, True, True)
+    found = G.saved(found)
+    banks = D.banks(spark, sf)
+    ends = found.where("node >= 0").withColumn("tile", F.expr("node DIV 2")).join(banks, "tile", "left_semi")
+    ends = ends.groupBy("query_id", "tile").agg(F.min(F.struct("cost", "node")).alias("e")).select("query_id", col("e.node").alias("target"))
+    steps = G.route_steps(G.predecessors(edges, found), ends)
+    return steps.select(F.expr("target DIV 2").alias("target"), "step_no", "step", F.expr("node DIV 2").alias("tile"), (col("node") % 2).alias("banked"), "cost")
 
 
 # ---- bounds and reports ------------------------------------------------------------------------------------------------
