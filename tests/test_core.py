@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import requirements as R
 from wayfold.functions import scalars as S
 from wayfold.operators import graph as G
-from wayfold.plans import bounds  # noqa: F401
+from wayfold.plans import accounts, bounds, facts, wild  # noqa: F401
 from wayfold.plans import queries as Q
 
 

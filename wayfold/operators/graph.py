@@ -105,6 +105,17 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), part).withColumn(name, place.cast("long")).drop(part, before)
 
 
+def running_sum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` up to and with its distinct ``key``: ranges are summed side by side, and only their sums meet
+    in one task."""
+    part, before = f"__part_{name}", f"__before_{name}"
+    rows = saved(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()))
+    sums = rows.groupBy(part).agg(F.sum(value).alias("__n"))
+    starts = sums.select(part, F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    upto = F.sum(value).over(Window.partitionBy(part).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) + F.col(before)
+    return rows.join(F.broadcast(starts), part).withColumn(name, upto.cast("long")).drop(part, before)
+
+
 def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` over ``edges(s, d)``: one semi-naive join a round on the component graph."""
     reached = saved(seeds.select("node").distinct())
@@ -118,7 +129,7 @@ def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, *, per_tile: int = 2, region: int = 64, rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, *, per_tile: int = 2, region: int = 128, rounds: int = 1000) -> DataFrame:
     """``query_id, node, cost`` of every node reachable from a query's starts ``query_id, node`` over the state edges ``query_id, s, d, w``.
 
     A node is ``per_tile`` times a tile and a layer, or a negative number by itself. Regions of ``region`` squared tiles are solved by themselves,

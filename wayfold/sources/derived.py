@@ -9,7 +9,7 @@ from ..functions import scalars as S
 
 #: The same tables as common table expressions of the check SQL.
 SQL_TILES = "tiles AS (SELECT DISTINCT x, y, p, x | (y << 15) | (p << 30) AS tile FROM (SELECT CAST(l_partkey % 64 AS BIGINT) AS x, CAST((l_suppkey * 37 + l_orderkey) % 64 AS BIGINT) AS y, CAST(l_linenumber % 2 AS BIGINT) AS p FROM lineitem WHERE l_quantity < 10))"
-SQL_EDGES = "walk AS (SELECT a.tile AS s, b.tile AS d FROM tiles a JOIN tiles b ON a.p = b.p AND ((a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1)))"
+SQL_EDGES = "walk AS (SELECT a.tile AS s, b.tile AS d FROM (SELECT *, unnest([-1, 1, 0, 0]) AS dx, unnest([0, 0, -1, 1]) AS dy FROM tiles) a JOIN tiles b ON a.p = b.p AND b.x = a.x + a.dx AND b.y = a.y + a.dy)"
 SQL_TRANSPORTS = """transports AS (SELECT o_orderkey AS id, o_orderpriority AS type, 1 + CAST(floor(o_totalprice) AS BIGINT) % 20 AS duration, o_orderstatus AS status,
   CASE WHEN o_orderstatus <> 'P' THEN (o_custkey % 64) | (((o_custkey * 7) % 64) << 15) | ((o_custkey % 2) << 30) END AS origin,
   (o_orderkey % 64) | (((o_orderkey * 11) % 64) << 15) | ((o_orderkey % 2) << 30) AS destination, CAST((o_orderkey * 7) % 60 AS INTEGER) AS max_level FROM orders)"""
