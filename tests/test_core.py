@@ -76,6 +76,10 @@ def test_scalars(spark):
     for c in b"route":
         value = (value ^ c) * 16777619 % 2**32
     assert one(spark, S.fnv1a32(F.lit("route"))) == value
+    value = 2166136261
+    for c in "né日\U0001f600":
+        value = (value ^ int.from_bytes(c.encode("utf-16-be")[:2])) * 16777619 % 2**32
+    assert one(spark, S.fnv1a32(F.lit("né日\U0001f600"))) == value and one(spark, S.fnv1a32(F.lit(""))) == 2166136261
     assert one(spark, S.parse_coordinate(F.lit("1, 2 3"))) == [1, 2, 3]
     assert one(spark, S.capability(F.lit(3000), F.lit(3762))) == "NoGlobals"
     assert one(spark, S.capability(F.lit(3000), F.lit(3700))) == "WildernessGlobals"

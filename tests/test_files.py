@@ -1,10 +1,14 @@
+import hashlib
 import json
+import struct
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wayfold.sources import files
+from wayfold.operators import identity
+from wayfold.sources import facts, files
 
 HEADER = "# Origin\tDestination\tDuration\tDisplay info\tConsumable\tWilderness level\tSkills\tItems\tQuests\tVarbits\tVarPlayers"
 
@@ -82,3 +86,70 @@ def test_sinks(spark, tmp_path):
     files.append_results(rows, str(tmp_path / "log"))
     files.append_results(rows, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def test_tsv_keeps_rows_like_the_header_and_counts_lines(spark, tmp_path):
+    path = tmp_path / "a.tsv"
+    path.write_bytes(b"# a\tb\r\n# remark\r\na\tb\r\n\r\n1\t2\r\n")
+    assert sorted(tuple(r) for r in files.read_tsv(spark, str(path), line="at").collect()) == [(3, "a", "b"), (5, "1", "2")]
+
+
+def test_house_rows(spark):
+    rows = [("BOX", tile(1860, 5700), tile(5, 5)), ("BOX", tile(1923, 5709), tile(5, 5)), ("BOX", tile(1861, 5700), tile(6, 6)), ("BOAT", tile(1, 1), tile(2, 2))]
+    got = {tuple(r) for r in files.with_house_aliases(spark.createDataFrame(rows, "type string, origin long, destination long")).collect()}
+    assert got == {*rows, ("BOX", tile(1923, 5709), tile(6, 6))}
+
+
+def test_profiles(spark, tmp_path):
+    profile = {"levels": {"Magic": 50}, "quests": ["Q", "Q"], "varbits": {"7": 1}, "varplayers": {}, "inventory": {"COINS": 5, "995": 2, "AIR_RUNE": 1}, "equipment": {}, "runePouch": {}, "bank": {"4151": 1}, "diaries": {"Varrock": "Hard"}, "plantedSpiritTrees": ["PORT_SARIM", "HosidiusTree"], "fairyRingsUnlocked": True}
+    write = lambda **change: (tmp_path / "p.json").write_text(json.dumps({"formatVersion": 1, "nowMinutes": 9, "profiles": {"mid": profile}} | change))
+    write()
+    r = files.read_profiles(spark, str(tmp_path / "p.json")).first()
+    assert (r["account"], r["now_minutes"], r["quests"], r["varbits"], r["inventory"], r["bank"]) == ("mid", 9, ["Q"], {7: 1}, {995: 7, 556: 1}, {4151: 1})
+    assert r["diaries"] == {"Varrock": 3} and r["trees"] == ["PortSarimTree", "HosidiusTree"] and r["fairy_rings"]
+    for change in ({"formatVersion": 2}, {"profiles": {"x": profile | {"diaries": {"Varrock": "Best"}}}}, {"profiles": {"x": profile | {"varbits": {"a": 1}}}}, {"profiles": {"x": profile | {"bank": {"NOTHING": 1}}}}, {"profiles": {"x": profile | {"plantedSpiritTrees": ["OAK"]}}}):
+        write(**change)
+        with pytest.raises(Exception, match="unsupported|unknown|invalid"):
+            files.read_profiles(spark, str(tmp_path / "p.json")).collect()
+
+
+def test_writers_round_trip(spark, tmp_path):
+    rows = [("a/b", "early", True, 7), ("c", "max", False, None)]
+    files.write_oracle(spark.createDataFrame(rows, "route string, profile string, reachable boolean, cost long"), str(tmp_path / "oracle"))
+    assert sorted(tuple(r) for r in files.read_oracle(spark, str(tmp_path / "oracle")).collect()) == rows
+    cuts = spark.createDataFrame([(tile(13, 10), tile(12, 10)), (tile(12, 10), tile(13, 10)), (tile(1, 2, 3), tile(2, 2, 3))], "a long, b long")
+    files.write_separator(cuts, str(tmp_path / "cuts"), "fnv1a64:0", {"randomSeed": 42}, "v1")
+    assert sorted(tuple(r) for r in files.read_separator(spark, str(tmp_path / "cuts")).collect()) == sorted([(tile(12, 10), tile(13, 10)), (tile(1, 2, 3), tile(2, 2, 3))])
+    files.append_results(spark.createDataFrame([("r", "p", False), ("r", "p", False), ("r", "q", True)], "route string, profile string, correct boolean"), str(tmp_path / "log"))
+    assert [tuple(r) for r in files.read_failures(spark, str(tmp_path / "log")).collect()] == [("r", "p")]
+    (tmp_path / "x").write_bytes(b"abc")
+    assert files.file_digests(spark, str(tmp_path / "x"), str(tmp_path / "none")) == hashlib.sha256(b"abc").hexdigest() + ":missing"
+
+
+def test_walking_identity(spark, tmp_path):
+    collision(tmp_path / "c.zip", east=[(10, 10), (11, 10)])
+    flags = files.read_collision(spark, str(tmp_path / "c.zip"))
+    want, near = 14695981039346656037, {10: [11], 11: [10, 12], 12: [11]}
+    for x, others in near.items():
+        for value in (tile(x, 10), -1, *(tile(o, 10) for o in others), -2):
+            for byte in struct.pack("<q", value):
+                want = (want ^ byte) * 1099511628211 % 2**64
+    assert identity.walking_identity(files.walkable_tiles(flags), files.passable_edges(flags)) == f"fnv1a64:{want:016x}"
+
+
+def test_fact_base(spark, tmp_path):
+    collision(tmp_path / "c.zip", east=[(x, 10) for x in range(10, 14)] + [(20, 20), (40, 40)], north=[(30, 30)])
+    flags = files.read_collision(spark, str(tmp_path / "c.zip"))
+    moves = spark.createDataFrame([("t1", "BOAT", tile(10, 10), tile(20, 20), 3), ("t2", "SPELL", None, tile(30, 31), 1), ("t3", "BOAT", tile(13, 12), tile(50, 50), 1)], "transport_id string, type string, origin long, destination long, duration long")
+    banks = spark.createDataFrame([(tile(12, 10),)], "tile long")
+    places = spark.createDataFrame([("p1", "bank", tile(12, 10), "gps", "bank"), ("p2", "field", tile(40, 41), "gps", "x"), ("p3", "sea", tile(60, 60), "gps", "x"), ("p4", "far", tile(30, 30), "gps", "x")], "place_id string, name string, tile long, source string, source_kind string")
+    cuts = spark.createDataFrame([(tile(12, 10), tile(13, 10))], "a long, b long")
+    facts.write_facts(facts.fact_tables(spark, flags, moves, banks, places, cuts), str(tmp_path / "facts"))
+    facts.register_facts(spark, str(tmp_path / "facts"))
+    rows = lambda q: sorted(tuple(r) for r in spark.sql(q).collect())
+    assert rows("SELECT place_id, status, access_kind FROM place_facts") == [("p1", "reachable", "walkable"), ("p2", "unreachable_component", "snapped"), ("p3", "unresolved", "unresolved"), ("p4", "reachable", "walkable")]
+    assert rows("SELECT count(*) FROM reachable_tiles") == [(9,)] and rows("SELECT count(*) FROM components") == [(4,)]
+    assert rows("SELECT from_x, to_x, cost FROM separator_crossings") == [(12, 13, 1)]
+    assert rows("SELECT tile_count, separator_crossing_count, neighbouring_component_count FROM routing_components") == [(2, 0, 0), (2, 0, 0), (2, 0, 0), (2, 1, 1), (3, 1, 1)]
+    assert rows("SELECT transport_id, origin_access_kind, destination_access_kind, origin_structurally_reachable FROM transport_facts") == [("t1", "walkable", "walkable", True), ("t2", None, "walkable", None), ("t3", "unresolved", "unresolved", None)]
+    assert rows("SELECT value FROM metadata WHERE key = 'walkable_tiles'") == [("11",)]

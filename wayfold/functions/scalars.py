@@ -127,8 +127,10 @@ def distance_tag(distance: Column, same_plane: Column) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """32-bit FNV-1a over the characters of ASCII text."""
-    return F.aggregate(F.transform(F.split(text, ""), F.ascii), F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c.cast("long")) * 16777619 % 4294967296)
+    """32-bit FNV-1a over the first UTF-16 unit of every character."""
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    unit = lambda i: F.conv(F.substring(F.hex(F.encode(F.substr(text, i, F.lit(1)), "UTF-16BE")), 1, 4), 16, 10).cast("long")
+    return F.aggregate(F.transform(places, unit), F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c.cast("long")) * 16777619 % 4294967296)
 
 
 def normalize_name(name: Column) -> Column:

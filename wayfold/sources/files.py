@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import accounts as A
 from ..functions import scalars as S
 from ..operators import graph as G
 
@@ -22,18 +24,19 @@ ROUTE_DDL = (
 SEPARATOR_DDL = "format string, topologyIdentity string, cutEdges array<struct<from: array<long>, to: array<long>>>"
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a tab-separated file as string columns. The first line names them, after an optional ``#``; blank lines, comments and
-    lines of tabs alone are dropped, short rows are padded with "" and surplus fields ignored. A file without lines gives no columns."""
-    lines = spark.read.text(path)
-    first = lines.first()
+def read_tsv(spark: SparkSession, path: str, line: str | None = None) -> DataFrame:
+    """Rows of a tab-separated definition file as string columns, and the line numbers (from 1) as ``line`` if that is given. The first line names
+    the columns, after an optional ``#``; blank lines, comments and lines of tabs alone are dropped, short rows are padded with ""
+    and surplus fields ignored. A file without lines gives no columns. Files are read whole, one task each."""
+    first = spark.read.text(path).first()
     if first is None:
         return spark.createDataFrame([], "")
-    header = first["value"]
-    names = re.sub("^# ?", "", header).split("\t")
-    data = lines.where(F.col("value").rlike(r"[^\t]") & ~F.col("value").startswith("#") & (F.col("value") != header))
+    names = re.sub("^# ?", "", first["value"]).split("\t")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    data = lines.where((F.col("at") > 0) & F.col("value").rlike(r"[^\t]") & ~F.col("value").startswith("#"))
     cells = F.split("value", "\t", -1)
-    return data.select(*(F.coalesce(F.get(cells, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
+    number = [(F.col("at") + 1).cast("long").alias(line)] if line else []
+    return data.select(*number, *(F.coalesce(F.get(cells, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
 def _cell(df: DataFrame, name: str):
@@ -52,18 +55,20 @@ def transport_rows(rows: DataFrame, type_name: str, teleport: bool = False) -> D
     )
 
 
-def with_permutations(raw: DataFrame, radius: int, global_type: bool) -> DataFrame:
+def with_permutations(raw: DataFrame, radius: int, global_type: bool, salts: int = 16) -> DataFrame:
     """Rows with both ends, globals where the type has them, and every origin-only row with every destination-only row further off than
     ``radius``. A permuted row takes its destination's label, the larger duration and level, and the requirements of both.
 
-    The destinations of one type are a definition file's lines; the join is by type, so adaptive execution picks its side.
+    The product of one type is dealt to ``salts`` keys: origins by hash, destinations (a definition file's lines) to all of them.
     """
     both = F.col("origin").isNotNull() & F.col("destination").isNotNull() & (F.col("origin") != F.col("destination"))
     direct = raw.where(both | (F.col("origin").isNull() & F.col("destination").isNotNull() & F.lit(global_type)))
     lists = ("skills", "quests", "varbits", "varplayers")
     ends = raw.where("origin IS NULL AND destination IS NOT NULL").select("type", F.col("destination").alias("to"), F.col("duration").alias("more"), F.col("items").alias("items_to"), F.col("label").alias("label_to"), F.col("consumable").alias("used"), F.col("max_wilderness_level").alias("level_to"), *(F.col(c).alias(f"{c}_to") for c in lists))
     far = S.chebyshev_flat(S.tile_x(F.col("origin")), S.tile_y(F.col("origin")), S.tile_x(F.col("to")), S.tile_y(F.col("to"))) > radius
-    pairs = raw.where("origin IS NOT NULL AND destination IS NULL").join(ends, "type").where(far)
+    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    starts = raw.where("origin IS NOT NULL AND destination IS NULL").withColumn("salt", F.pmod(F.xxhash64("origin"), F.lit(salts)).cast("int"))
+    pairs = starts.join(ends, ["type", "salt"]).where(far)
     alternatives = F.flatten(F.transform("items", lambda a: F.transform(F.col("items_to"), lambda b: F.concat(a, b))))
     pairs = pairs.withColumn("items", F.when(F.col("items").isNull(), F.col("items_to")).when(F.col("items_to").isNull(), F.col("items")).otherwise(alternatives))
     for c in lists:
@@ -82,7 +87,13 @@ def read_transports(spark: SparkSession, folder: str, types: Mapping[str, tuple[
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no transport types")
-    return out
+    return out.withColumn("destination", F.when(A.inside_house(F.col("destination")), A.landing()).otherwise(F.col("destination")))
+
+
+def with_house_aliases(transports: DataFrame) -> DataFrame:
+    """``transports`` and, for every origin inside the house, a copy that starts where one arrives, unless such a row is there already."""
+    inside = transports.where(A.inside_house(F.col("origin")) & (F.col("origin") != A.landing())).withColumn("origin", A.landing())
+    return transports.unionByName(inside.exceptAll(inside.intersectAll(transports)).dropDuplicates()) if transports.columns else transports
 
 
 def read_banks(spark: SparkSession, path: str) -> DataFrame:
@@ -160,6 +171,75 @@ def read_oracle(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(F.regexp_extract("key", "^(.*)/[^/]*$", 1).alias("route"), F.regexp_extract("key", "([^/]*)$", 1).alias("profile"), "v.reachable", "v.cost")
 
 
+def write_oracle(rows: DataFrame, path: str) -> None:
+    """``route, profile, reachable, cost`` as the one JSON map that ``read_oracle`` reads; a single file by its format."""
+    value = F.when(F.col("cost").isNull(), F.struct("reachable", F.lit(None).cast("long").alias("cost"))).otherwise(F.struct("reachable", "cost"))
+    entry = F.struct(F.concat_ws("/", "route", "profile").alias("key"), value.alias("value"))
+    rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct ``route, profile`` of the result records that were not correct."""
+    rows = spark.read.schema("route string, profile string, correct boolean").json(path)
+    return rows.where("NOT correct").select("route", "profile").distinct()
+
+
+def write_separator(cuts: DataFrame, path: str, identity: str, configuration: dict[str, int | str], version: str) -> None:
+    """Cut edges ``a, b`` as a separator file, smaller ends first, once each, in order; a single file by its format."""
+    end = lambda c: F.array(S.tile_x(c), S.tile_y(c), S.tile_plane(c))
+    edge = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = F.transform(F.sort_array(F.collect_set(edge)), lambda e: F.struct(end(e["a"]).alias("from"), end(e["b"]).alias("to")))
+    settings = F.struct(*(F.lit(v).alias(k) for k, v in configuration.items()))
+    whole = F.to_json(F.struct(F.lit(version).alias("format"), F.lit(identity).alias("topologyIdentity"), settings.alias("configuration"), edges.alias("cutEdges")))
+    cuts.agg(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def file_digests(spark: SparkSession, *paths: str) -> str:
+    """SHA-256 of every file in the order of the paths, joined by colons; a missing file is "missing"."""
+    out = []
+    for path in paths:  # a few definition files; only digests come to the driver
+        try:
+            out += [r["h"] for r in spark.read.format("binaryFile").load(path).orderBy("path").select(F.sha2("content", 256).alias("h")).collect()]
+        except AnalysisException:
+            out.append("missing")
+    return ":".join(out)
+
+
+PROFILE = (
+    "levels map<string,int>, quests array<string>, varbits map<string,int>, varplayers map<string,int>, inventory map<string,bigint>, equipment map<string,bigint>, runePouch map<string,bigint>, bank map<string,bigint>, "
+    "diaries map<string,string>, plantedSpiritTrees array<string>, fairyRingsUnlocked boolean"
+)
+#: Names of the diaries, and other names of the planted trees.
+DIARIES = ("Ardougne", "Desert", "Falador", "Fremennik", "Kandarin", "Karamja", "KourendKebos", "LumbridgeDraynor", "Morytania", "Varrock", "WesternProvinces", "Wilderness")
+TREE_NAMES = {"FARMING_GUILD": "FarmingGuildTree", "PORT_SARIM": "PortSarimTree", "ETCETERIA": "EtceteriaTree", "BRIMHAVEN": "BrimhavenTree", "HOSIDIUS": "HosidiusTree"}
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """One row a profile of an account file: levels, quests, variables by number, item bags by id, diary tiers by rank, planted trees. Another
+    format version, an unknown name or an id that is no number is an error; quantities of one item are added."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"formatVersion int, nowMinutes int, profiles map<string, struct<{PROFILE.replace(' ', ':').replace(',:', ', ')}>>").alias("f"))
+    fail = lambda text, x: F.raise_error(F.concat(F.lit(text), x))
+    checked = F.when(F.col("f.formatVersion") == 1, F.col("f.profiles")).otherwise(fail("unsupported account profile formatVersion", F.lit("")))
+    rows = rows.select(F.col("f.nowMinutes").alias("now_minutes"), F.explode(checked).alias("account", "p"))
+    number = lambda c: F.transform_keys(c, lambda k, _: F.coalesce(k.try_cast("int"), fail("invalid id: ", k).cast("int")))
+
+    def bag(c):
+        ids = F.transform(F.map_entries(c), lambda e: F.struct(A.item_ids(e["key"])[0].alias("id"), e["value"].alias("n")))
+        keys = F.array_distinct(F.transform(ids, lambda e: e["id"]))
+        total = lambda k: F.aggregate(F.filter(ids, lambda e: e["id"] == k), F.lit(0).cast("long"), lambda t, e: t + e["n"])
+        return F.map_from_arrays(keys, F.transform(keys, total))
+
+    tiers = F.array(*map(F.lit, ("NoDiary", *S.TIERS)))
+    tier = lambda k, v: F.when(k.isin(*DIARIES) & F.array_contains(tiers, v), (F.array_position(tiers, v) - 1).cast("int")).otherwise(fail("unknown diary: ", F.concat_ws(" ", k, v)).cast("int"))
+    names = F.create_map(*(F.lit(x) for k, v in TREE_NAMES.items() for x in (k, v, v, v)))
+    trees = F.transform("p.plantedSpiritTrees", lambda t: F.coalesce(F.try_element_at(names, t), fail("unknown planted spirit tree: ", t).cast("string")))
+    return rows.select(
+        "account", "now_minutes", F.col("p.levels").alias("levels"), F.array_distinct("p.quests").alias("quests"), number("p.varbits").alias("varbits"), number("p.varplayers").alias("varplayers"),
+        *(bag(F.col(f"p.{c}")).alias(n) for c, n in (("inventory", "inventory"), ("equipment", "equipment"), ("runePouch", "rune_pouch"), ("bank", "bank"))),
+        F.transform_values("p.diaries", tier).alias("diaries"), F.array_distinct(trees).alias("trees"), F.col("p.fairyRingsUnlocked").alias("fairy_rings"),
+    )
+
+
 def append_results(rows: DataFrame, folder: str) -> None:
     """Append result records as JSON lines."""
     rows.write.mode("append").json(folder)
