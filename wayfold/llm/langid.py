@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,17 +12,16 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_columns
 
 
-@lru_cache(maxsize=1)
-def _letters() -> Callable[[str], list[str]]:
-    """Finds runs of letters: the word characters of the pattern language without its digits, the underscore, and numerals that
-    are neither (fractions, raised and circled digits, letter numbers)."""
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if not c.isalpha() and c.isalnum() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(map(re.escape, odd))}]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower case."""
-    return _letters()(text.lower())
+    """Runs of letters, lower case. The pattern's runs may hold numerals that are neither letters nor digits (fractions, raised and
+    circled digits, letter numbers): those part words as well."""
+    found = _RUNS(text.lower())
+    if found and not "".join(found).isalpha():
+        found = [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split(" ")) if w]
+    return found
 
 
 class WordFirstModel:
