@@ -249,6 +249,60 @@ def test_fingerprints_against_plain_text(spark):
     assert np.mean([g["near_edited"] > g["near_next"] for g in got.values()]) > 0.95
 
 
+def test_fingerprints_equal_brute_force(spark):
+    """Lanes, counts and both likenesses of every document of the small table, by plain loops over its paragraphs and word pairs."""
+    import struct
+
+    import xxhash
+
+    chain = lambda *parts: __import__("functools").reduce(lambda seed, part: xxhash.xxh64_intdigest(part, seed=seed), parts, 42)
+    white = "[\x20\x09-\x0d]+"
+
+    def slow(text):
+        pars = [x for x in text.split("\n") if re.sub(white, "", x)]
+        lanes = [sum(chain(struct.pack("<i", j), x.encode()) & 0xFFFFFFFF for x in pars) & 0xFFFFFFFF for j in range(fingerprint.HASH_LANES)]
+        hashes = []
+        for x in pars:
+            words = [w.encode() for w in re.split(white, x) if w]
+            hashes += [chain(a, b) for a, b in itertools.pairwise(words)] if len(words) > 1 else [chain(w) for w in words]
+        counts = np.zeros(64, dtype=np.int64)
+        for bit in range(64):
+            counts[bit] = int(((np.array(hashes, dtype=np.uint64) >> np.uint64(bit)) & np.uint64(1)).sum())
+        bits = [int(counts[bit]) for j in range(32) for bit in (j, j + 32)]
+        return lanes, bits, len(hashes)
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        x, y = (2 * np.array(f[1], dtype=float) - f[2] for f in (a, b))
+        norm = np.sqrt((x @ x) * (y @ y))
+        return max(0.0, min(0.999999, x @ y / norm)) if norm > 0 else 0.0
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy(F.desc("doc_id")).collect()
+    got = {r["doc_id"]: r for r in queries.op4_fingerprints(spark, SMALL).collect()}
+    prints = [slow(r["text"] or "") for r in rows]
+    written = lambda f: "".join(f"{v:08x}" for v in f[0]) + ":" + "".join(f"{v:08x}" for v in f[1]) + f":{f[2]:X}"
+    for i, r in enumerate(rows):
+        t, nxt = r["text"] or "", rows[(i + 1) % len(rows)]["text"] or ""
+        edited = slow(t[: len(t) - len(t) // 3] + nxt[: len(t) // 3])
+        g = got[r["doc_id"]]
+        assert g["fingerprint"] == written(prints[i]) and g["edited_fingerprint"] == written(edited)
+        assert abs(g["near_edited"] - near(prints[i], edited)) < 1e-6 and abs(g["near_next"] - near(prints[i], prints[(i + 1) % len(rows)])) < 1e-6
+
+
+def test_fingerprints_of_null_ids_and_wrapping(spark):
+    """Rows of null id come last, in order of their texts; the last row's next is the first. Ranges of any size give the same."""
+    rows = [(None, "zz a b c"), (None, "aa a b c"), (None, "aa a b c"), (5, "five words are in here"), (7, "seven x y z"), (7, "again seven x y z")]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for i, (name, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        want.append((str(name), hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()))
+    for size in (1, 2, 1500):
+        out = fingerprint.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=size).collect()
+        assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in out) == sorted(want)
+
+
 def test_fingerprint_is_a_multiset_sum(spark):
     df = spark.createDataFrame([("a b\nc d\ne f", "e f\na b", "c d", "c d\ne f\na b")], "whole string, part string, rest string, shuffled string")
     for c in df.columns:
