@@ -565,6 +565,27 @@ def test_pipeline_stages(spark):
     assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls in every column, empty, very long and repeated texts, ties, clashing extra columns and empty tables pass every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    sf = str(tmp_path)
+    more = odd.union(spark.createDataFrame([(None, "no id", None, None, None, 1, "")], DDL)).withColumn("slot", F.lit(1)).withColumn("n_removed", F.lit("x"))
+    kept = stages["quality"](spark, more, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS and kept.count() == len(ODD) + 1
+    lines = stages["line_dedup"](spark, more, sf)
+    assert lines.columns == corpus_pipeline.COLUMNS and lines.count() == len(ODD) + 1 and lines.where("doc_id = 1 AND text IS NULL").count() == 1
+    single = stages["near_duplicates"](spark, more, sf)
+    assert single.columns == corpus_pipeline.COLUMNS and sorted(str(r["doc_id"]) for r in single.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
+    mixed = stages["mixing"](spark, more, sf)
+    assert mixed.columns == corpus_pipeline.COLUMNS and mixed.where("text IS NULL OR trim(text) = ''").count() == 0 < mixed.count()
+    assert stages["packing"](spark, more, sf).where("doc_id = 1 AND doc_tokens = 1").count() == 1
+    for stage in stages.values():
+        assert stage(spark, empty, sf).count() == 0
+
+
 def brute_lines(rows):
     """Texts by row without lines on five sites or more, but for the first place of each."""
     white = "\x20\t\n\x0b\x0c\r"
