@@ -95,6 +95,24 @@ def test_requirements(spark):
     assert one(spark, R.var_result(F.struct(F.lit("=").alias("op"), F.lit(1).alias("value")), F.lit(None).cast("long"), F.lit(0))) == "unknown"
 
 
+def test_thinning_equals_comparing_all():
+    import pandas as pd
+
+    r = random.Random(6)
+    rows = pd.DataFrame([("n", r.randrange(-60, 200), r.randrange(-60, 200), i) for i in range(900)], columns=["name", "x", "y", "id"])
+    kept = []
+    for x in sorted(rows.itertuples(index=False), key=lambda p: (p.x, p.y, p.id)):
+        if all(max(abs(x.x - k.x), abs(x.y - k.y)) > 12 for k in kept):
+            kept.append(x)
+    got = Q.thin_places(rows)
+    assert list(got["id"]) == [k.id for k in kept] and len(kept) < 300
+
+
+def test_queries_without_sql_run(spark):
+    for name in sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)):
+        assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
 def test_wilderness_corridor(spark):
     """Globals need a tile that may activate them: costs 1, 81 and 83 of the corridor case."""
     y0, y1 = 3678, 3762
