@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import random
@@ -397,7 +398,11 @@ def brute_components(rows):
     return {i: find(i) for i in ids}
 
 
-def test_join_equals_brute_force_on_near_copies(spark):
+@pytest.mark.parametrize("hot, block", [(ngram_join.HOT_LIST, 512), (2, 2)])
+def test_join_equals_brute_force_on_near_copies(spark, monkeypatch, hot, block):
+    """Also with lists dealt over salts and in small blocks."""
+    monkeypatch.setattr(ngram_join, "HOT_LIST", hot)
+    monkeypatch.setattr(ngram_join, "cross_pairs", functools.partial(ngram_join.cross_pairs, block=block))
     r = random.Random(4)
     words = [f"w{i}" for i in range(40)]
     rows = []

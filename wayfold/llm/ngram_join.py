@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, heavy_light_join, map_columns, min_label_components, saved
+from .common import HOT_SHARE, arrow_schema, heavy_light_join, map_columns, min_label_components, saved
 
 SHINGLE = 5
 #: Least similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 4, 5
+#: A shingle in more sets than this and than HOT_SHARE of all has its list dealt over salts, about as many sets to each.
+HOT_LIST = 500
 
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -165,18 +167,21 @@ def choose_boundary(histogram: dict[int, int], repeat_rate: float, check_cost: f
     return min(range(top + 1), key=lambda b: (cost(b), b))
 
 
-def postings(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
+def postings(docs: DataFrame, heavy: np.ndarray, parts: np.ndarray, boundary: int) -> DataFrame:
     """Keys under which sets meet. Shingles are ordered with the frequent ones (``heavy``) last, then by hash. A set of at most ``boundary``
     shingles gives every 2-subset of its prefix; a larger one, or one near the boundary, the shingles of its prefix. Sets that a task
-    has already met are left out, as are sets under four shingles: at this similarity they only match equal ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    has already met are left out, as are sets under four shingles: at this similarity they only match equal ones.
+
+    ``parts`` tells for every frequent shingle over how many salts its list is dealt; a 2-subset takes the smaller number of its two.
+    A list that is not dealt has salt 0, the salts of the others begin at 1."""
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, parts))
 
     def make():
-        frequent = shared.value
+        frequent, dealt = shared.value
         met: set[tuple[int, int]] = set()
 
         def fn(ids, texts):
-            keys, owners, sizes, rare = [], [], [], []
+            keys, owners, sizes, rare, salts = [], [], [], [], []
             for i, t in zip(ids, texts, strict=True):
                 tokens = shingle_set(t)
                 n = len(tokens)
@@ -188,104 +193,109 @@ def postings(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
                 if len(met) > 200_000:
                     met.clear()
                 met.add(mark)
-                at = np.searchsorted(frequent, tokens)
-                often = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == tokens
-                ordered = np.concatenate([tokens[~often], tokens[often]])
+                often, share = np.zeros(n, bool), np.ones(n, np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+                    often = frequent[at] == tokens
+                    share = np.where(often, dealt[at], 1)
+                ordered, share = (np.concatenate([x[~often], x[often]]) for x in (tokens, share))
                 p = n - least_overlap(n) + 1
-                found = []
+                found, split = [], []
                 if n <= boundary:
                     a, b = np.triu_indices(min(n, p + 1), 1)
                     found.append(mix(ordered[a] * _PLACE[0] + ordered[b] * _PLACE[1]))
+                    split.append(np.minimum(share[a], share[b]))
                 if DEN * n > NUM * boundary:
                     found.append(ordered[:p])
+                    split.append(share[:p])
                 k = sum(map(len, found))
+                spread = int(mix(np.array([i], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                split = np.concatenate(split)
+                salts.append(np.where(split > 1, spread % split + 1, 0))
                 keys.append(np.concatenate(found).view(np.int64))
                 owners += [i] * k
                 sizes += [n] * k
                 rare += [int(n - often.sum())] * k
-            return [np.concatenate(keys) if keys else [], owners, sizes, rare]
+            return [np.concatenate(keys) if keys else [], owners, sizes, rare, np.concatenate(salts) if salts else []]
 
         return fn
 
-    return map_columns(docs, "key long, doc_id long, n int, rare int", make)
+    return map_columns(docs, "key long, doc_id long, n int, rare int, salt int", make)
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+def _runs(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])]))
 
 
 def star_pairs(posted: DataFrame, whole: int = 4) -> DataFrame:
     """Candidates from inverted lists: lists of up to ``whole`` sets give all their pairs; longer ones pair each set with the list's first
     (fewest rare shingles), and are kept (``b`` null) for a second look at what stays apart. Lists are streamed: a list of any
-    length takes no more memory than a batch."""
+    length takes no more memory than a batch. Every salt of a dealt list counts as a longer one, with a first set of its own."""
     schema, out = arrow_schema("a long, b long, key long, n int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # rows of the last, perhaps unfinished list: key, docs, sizes; or its first row once it is long
-        center = None
-
-        def emit(a, b, key, n):
-            return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(key, type=pa.int64()), pa.array(n, type=pa.int32())], schema=out)
+        tail = None  # rows of the last, perhaps unfinished list: key, docs, sizes, salts
+        center = None  # key, salt, doc and size that a longer list began with
+
+        def emit(pairs, keys, docs, sizes):
+            k, m = len(pairs), len(keys)
+            null = lambda n, t: pa.nulls(n, t)
+            a = pa.array(np.concatenate([pairs[:, 0], docs]))
+            b = pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), null(m, pa.int64())])
+            key = pa.concat_arrays([null(k, pa.int64()), pa.array(keys)])
+            return pa.RecordBatch.from_arrays([a, b, key, pa.concat_arrays([null(k, pa.int32()), pa.array(sizes, type=pa.int32())])], schema=out)
+
+        def unequal(a, b):
+            a, b = np.maximum(a, b), np.minimum(a, b)
+            return np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)
 
-        def small(keys, docs, sizes):
-            starts = _runs(keys)
+        def finished(keys, docs, sizes, salts):
+            starts = _runs(keys, salts)
             lengths = np.diff(np.append(starts, len(keys)))
+            run = np.repeat(np.arange(len(starts)), lengths)
+            long = ((lengths > whole) | (salts[starts] > 0))[run]
             parts_a, parts_b = [], []
             for gap in range(1, whole):
-                same = np.flatnonzero(keys[gap:] == keys[:-gap]) if len(keys) > gap else np.zeros(0, int)
-                size = np.repeat(lengths, lengths)[same] if len(same) else same
-                same = same[size <= whole]
+                same = np.flatnonzero((run[gap:] == run[:-gap]) & ~long[gap:])
                 same = same[similar_sizes(sizes[same], sizes[same + gap])]
                 parts_a.append(docs[same + gap])
                 parts_b.append(docs[same])
-            long = np.repeat(lengths > whole, lengths)
-            first = np.repeat(starts, lengths)
             rows = np.flatnonzero(long)
-            members = rows[rows != first[rows]]
-            members_ok = members[similar_sizes(sizes[members], sizes[first[members]])]
-            parts_a.append(docs[members_ok])
-            parts_b.append(docs[first[members_ok]])
-            a, b = np.concatenate(parts_a), np.concatenate(parts_b)
-            a, b = np.maximum(a, b), np.minimum(a, b)
-            ab = np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return ab, rows
+            first = starts[run[rows]]
+            near = similar_sizes(sizes[rows], sizes[first])
+            parts_a.append(docs[rows[near]])
+            parts_b.append(docs[first[near]])
+            return emit(unequal(np.concatenate(parts_a), np.concatenate(parts_b)), keys[rows], docs[rows], sizes[rows])
 
         for batch in batches:
-            keys, docs, sizes = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            keys, docs, sizes, salts = (batch.column(i).to_numpy() for i in range(4))
             if not len(keys):
                 continue
-            if center is not None:  # a long list goes on
-                more = int(np.searchsorted(keys != center[0], True)) if keys[0] == center[0] else 0
-                more = len(keys) if keys[0] == center[0] and (keys == center[0]).all() else more
+            if center is not None:  # a longer list goes on
+                same = (keys == center[0]) & (salts == center[1])
+                more = len(keys) if same.all() else int(np.argmin(same))
                 if more:
-                    ok = similar_sizes(sizes[:more], center[2]) & (docs[:more] != center[1])
-                    d = docs[:more][ok]
-                    pairs = np.unique(np.stack([np.maximum(d, center[1]), np.minimum(d, center[1])], axis=1), axis=0)
-                    yield emit(np.concatenate([pairs[:, 0], docs[:more]]), pa.array([*pairs[:, 1].tolist(), *[None] * more], type=pa.int64()), pa.array([*[None] * len(pairs), *keys[:more].tolist()], type=pa.int64()), pa.array([*[None] * len(pairs), *sizes[:more].tolist()], type=pa.int32()))
-                    keys, docs, sizes = keys[more:], docs[more:], sizes[more:]
-                if len(keys):
-                    center = None
-                else:
+                    near = docs[:more][similar_sizes(sizes[:more], center[3])]
+                    yield emit(unequal(near, np.full(len(near), center[2])), keys[:more], docs[:more], sizes[:more])
+                    keys, docs, sizes, salts = keys[more:], docs[more:], sizes[more:], salts[more:]
+                if not len(keys):
                     continue
+                center = None
             if tail is not None:
-                keys, docs, sizes = (np.concatenate([x, y]) for x, y in zip(tail, (keys, docs, sizes), strict=True))
+                keys, docs, sizes, salts = (np.concatenate([x, y]) for x, y in zip(tail, (keys, docs, sizes, salts), strict=True))
                 tail = None
-            last = int(_runs(keys)[-1])
-            if len(keys) - last > whole:
-                center = (keys[last], docs[last], sizes[last])  # surely long: its rows so far go out with the rest
+            last = int(_runs(keys, salts)[-1])
+            if salts[last] or len(keys) - last > whole:
+                center = (keys[last], salts[last], docs[last], sizes[last])  # surely longer: its rows so far go out with the rest
             else:
-                tail = (keys[last:], docs[last:], sizes[last:])
-                keys, docs, sizes = keys[:last], docs[:last], sizes[:last]
+                tail = (keys[last:], docs[last:], sizes[last:], salts[last:])
+                keys, docs, sizes, salts = keys[:last], docs[:last], sizes[:last], salts[:last]
             if len(keys):
-                ab, rows = small(keys, docs, sizes)
-                if len(ab) or len(rows):
-                    yield emit(np.concatenate([ab[:, 0], docs[rows]]), pa.array([*ab[:, 1].tolist(), *[None] * len(rows)], type=pa.int64()), pa.array([*[None] * len(ab), *keys[rows].tolist()], type=pa.int64()), pa.array([*[None] * len(ab), *sizes[rows].tolist()], type=pa.int32()))
+                yield finished(keys, docs, sizes, salts)
         if tail is not None:
-            ab, _ = small(*tail)
-            if len(ab):
-                yield emit(ab[:, 0], ab[:, 1], pa.nulls(len(ab), pa.int64()), pa.nulls(len(ab), pa.int32()))
+            yield finished(*tail)
 
-    return posted.repartition("key").sortWithinPartitions("key", "rare", "doc_id").select("key", "doc_id", "n").mapInArrow(run, schema)
+    return posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "rare", "doc_id").select("key", "doc_id", "n", "salt").mapInArrow(run, schema)
 
 
 def mixed_lists(lists: DataFrame, *more) -> DataFrame:
@@ -308,14 +318,19 @@ def center_pairs(lists: DataFrame, seed: int, centers: int = 8) -> DataFrame:
     return pairs.join(other, "b").where((F.col("ac") != F.col("bc")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn"))).select("a", "b")
 
 
-def cross_pairs(lists: DataFrame, marks: DataFrame, block: int = 2048) -> DataFrame:
+def cross_pairs(lists: DataFrame, marks: DataFrame, block: int = 512) -> DataFrame:
     """Pairs of sets of one list that lie in different components and may link by their marks. ``lists(key, doc_id, n, comp)``. Of lists
-    with the same members one is looked at. A list longer than ``block`` is dealt to pairs of blocks, so a task never holds more
-    than two blocks of it."""
-    counts = mixed_lists(lists)
-    counts = saved(counts.select("key", "c", F.ceil(F.col("c") / block).cast("int").alias("nb")))
-    rows = heavy_light_join(lists, counts, ["key"], "c").join(marks.select("doc_id", "marks"), "doc_id")
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    with the same members one is looked at. A list is dealt to pairs of blocks, so a task holds about two blocks of it at a time. Its
+    largest component has blocks of its own, which only meet those of the rest: near copies that are joined already
+    cost one comparison for each set outside, not one for each other."""
+    members = saved(heavy_light_join(lists, saved(mixed_lists(lists)), ["key"], "c").drop("c"))
+    counts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("most"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    counts = saved(counts.select("key", "c", F.col("most.comp").alias("lead"), blocks(F.col("most.m")).alias("nl"), blocks(F.col("c") - F.col("most.m")).alias("nr")))
+    rows = heavy_light_join(members, counts, ["key"], "c").join(marks.select("doc_id", "marks"), "doc_id")
+    leads, spread = F.col("comp") == F.col("lead"), F.xxhash64("doc_id")
+    rows = rows.withColumn("k", F.when(leads, F.pmod(spread, "nl")).otherwise(F.col("nl") + F.pmod(spread, "nr")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.when(leads, F.col("nl")).otherwise(F.lit(0)), F.col("nl") + F.col("nr") - 1)))
     rows = rows.select("key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "k", "doc_id", "n", "comp", "marks")
     schema, out = arrow_schema("a long, b long")
 
@@ -445,17 +460,20 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marks = found.where("token IS NULL AND doc_id IS NOT NULL").select("doc_id", "marks", "n").dropDuplicates(["doc_id"])
     repeated = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("cnt").alias("c"))
     top = repeated.where(F.col("c") >= heavy_least).orderBy(F.col("c").desc(), "token").limit(heavy_most).toPandas()
-    heavy = np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
+    top["token"] = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    top = top.sort_values("token")
+    heavy, often = top["token"].to_numpy(), top["c"].to_numpy(dtype=np.int64)
     sizes = {int(r["n"]): int(r["c"]) for r in sets.where("n BETWEEN 1 AND 240").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     totals = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     again = repeated.agg(F.sum("c").alias("c")).first()["c"] or 0
+    most = max(HOT_LIST, int(sets.count() * HOT_SHARE))
     boundary = choose_boundary(sizes, again / totals if totals else 0.0)
 
     # equal sets: one representative, the smallest id
     classes = saved(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     copies = saved(heavy_light_join(sets, classes, ["n", "s1", "s2"], "c").select("doc_id", "rep", "n").distinct())
 
-    looked = saved(star_pairs(postings(rows, heavy, boundary)))
+    looked = saved(star_pairs(postings(rows, heavy, -(-often // most), boundary)))
     to_rep = copies.where("doc_id <> rep").select("doc_id", "rep")
 
     def as_reps(df: DataFrame, column: str) -> DataFrame:
