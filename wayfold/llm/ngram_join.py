@@ -436,7 +436,7 @@ def verify(pairs: DataFrame, docs: DataFrame, marks: DataFrame | None = None, me
     pairs = saved(pairs.select("a", "b").distinct())
     if marks is not None:
         small = marks.select("doc_id", F.col("marks").alias("x"), "n")
-        pairs = _check(pairs, _partners(pairs, 16 * members), small, lambda x, n: (n, np.frombuffer(x, "<u8")), may_link)
+        pairs = _check(pairs, _partners(pairs, 2 * members), small, lambda x, n: (n, np.frombuffer(x, "<u8")), may_link)
     wanted = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = saved(_texts_of(docs, wanted).select("doc_id", F.col("text").alias("x"), F.lit(0).cast("long").alias("n")))
     return _check(pairs, _partners(pairs, members), texts, lambda x, n: shingle_set(x), linked)
