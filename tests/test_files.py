@@ -153,3 +153,25 @@ def test_fact_base(spark, tmp_path):
     assert rows("SELECT tile_count, separator_crossing_count, neighbouring_component_count FROM routing_components") == [(2, 0, 0), (2, 0, 0), (2, 0, 0), (2, 1, 1), (3, 1, 1)]
     assert rows("SELECT transport_id, origin_access_kind, destination_access_kind, origin_structurally_reachable FROM transport_facts") == [("t1", "walkable", "walkable", True), ("t2", None, "walkable", None), ("t3", "unresolved", "unresolved", None)]
     assert rows("SELECT value FROM metadata WHERE key = 'walkable_tiles'") == [("11",)]
+
+
+def test_variable_registry(spark, tmp_path):
+    (tmp_path / "defs").mkdir()
+    (tmp_path / "defs" / "a.tsv").write_text("# Origin\tVarbits\n1 1 0\t12=3;x;7@5\n# note\n\n2 2 0\t12>0012;12=3\n")
+    (tmp_path / "defs" / "b.tsv").write_text("# Varbits\tVarPlayers\r\n7@5\t4&1\r\n")
+    (tmp_path / "defs" / "c.tsv").write_text("# Origin\n1 1 0\n")
+    (tmp_path / "Bits.java").write_text("public static final int OLD = 12;\n public static final int DOOR_2 = 12;\npublic static final int SEVEN = 7;")
+    (tmp_path / "Players.java").write_text("public static final int FOUR = 4;")
+    kinds = {"varbit": ("Varbits", str(tmp_path / "Bits.java")), "varplayer": ("VarPlayers", str(tmp_path / "Players.java"))}
+    got = files.variable_registry(spark, str(tmp_path / "defs"), kinds)
+    want = [
+        ("varbit", 7, "SEVEN", "@5", 2, "a.tsv:2 7@5 | b.tsv:2 7@5"), ("varbit", 12, "DOOR_2", "=3;>12", 3, "a.tsv:2 12=3 | a.tsv:5 12>0012 | a.tsv:5 12=3"),
+        ("varplayer", 4, "FOUR", "&1", 1, "b.tsv:2 4&1"),
+    ]
+    assert [tuple(r) for r in got.orderBy("kind", "id").collect()] == want
+    files.write_registry(got, str(tmp_path / "out"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert lines[0].split("\t")[:2] == ["kind", "id"] and [x.split("\t")[1] for x in lines[1:]] == ["7", "12", "4"]
+    (tmp_path / "Bits.java").write_text("")
+    with pytest.raises(Exception, match="no name for varbit"):
+        files.variable_registry(spark, str(tmp_path / "defs"), kinds).collect()

@@ -240,6 +240,42 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def variable_registry(spark: SparkSession, folder: str, constants: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``kind, id, name, requirements, uses, sources`` of every variable that the definition files of a folder require. ``constants``: kind ->
+    (column of the files, source file with the kind's integer constants). Pieces of a cell that are no number, sign and number are left out;
+    a variable without a constant is an error, of several constants with its number the last one names it."""
+    files = spark.read.text(f"{folder}/*.tsv", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    heads = F.get(F.filter("lines", lambda v: v.startswith("# ")), F.lit(0))
+    rows = files.select("file", F.split(F.substr(heads, F.lit(3)), "\t").alias("names"), F.posexplode("lines").alias("at", "value"))
+    rows = rows.where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    out = None
+    for order, (kind, (column, source)) in enumerate(constants.items()):
+        place = F.array_position("names", column)
+        cell = rows.where(place > 0).select("file", (F.col("at") + 1).alias("line"), F.get(F.split("value", "\t", -1), (place - 1).cast("int")).alias("cell"))
+        asked = cell.select("file", "line", F.posexplode(F.split("cell", ";")).alias("nth", "text")).where(F.col("text").rlike("^[0-9]+[=><&@][0-9]+$"))
+        part = lambda i: F.regexp_extract("text", "^([0-9]+)([=><&@])([0-9]+)$", i)
+        use = F.struct("file", "line", F.lit(order).alias("order"), "nth", F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(" "), F.col("text")).alias("text"))
+        asked = asked.select(part(1).cast("long").alias("id"), F.concat(part(2), part(3).cast("long").cast("string")).alias("requirement"), use.alias("use"))
+        found = asked.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("requirement")), ";").alias("requirements"), F.count(F.lit(1)).alias("uses"), F.array_join(F.transform(F.sort_array(F.collect_list("use")), lambda u: u["text"]), " | ").alias("sources"))
+        pattern = F.lit("public static final int ([A-Z0-9_]+) = ([0-9]+);")
+        lines = spark.read.text(source, wholetext=True).select(F.posexplode(F.arrays_zip(F.regexp_extract_all("value", pattern, F.lit(1)).alias("name"), F.regexp_extract_all("value", pattern, F.lit(2)).alias("id"))).alias("at", "c"))
+        named = lines.select(F.col("c.id").cast("long").alias("id"), F.struct("at", F.col("c.name").alias("name")).alias("n")).groupBy("id").agg(F.max("n")["name"].alias("name"))
+        missing = F.raise_error(F.concat(F.lit(f"no name for {kind} "), F.col("id").cast("string"))).cast("string")
+        found = found.join(named, "id", "left").select(F.lit(kind).alias("kind"), "id", F.coalesce("name", missing).alias("name"), "requirements", "uses", "sources")
+        out = found if out is None else out.union(found)
+    if out is None:
+        raise ValueError("no kinds of variables")
+    return out
+
+
+def write_registry(rows: DataFrame, path: str) -> None:
+    """A variable registry as one tab-separated file with a header, by kind and id; a single file by its format."""
+    names = ["kind", "id", "name", "requirements", "uses", "sources"]
+    line = F.struct("kind", "id", F.concat_ws("\t", *(F.col(n).cast("string") for n in names)).alias("line"))
+    body = F.transform(F.sort_array(F.collect_list(line)), lambda r: r["line"])
+    rows.agg(F.array_join(F.concat(F.array(F.lit("\t".join(names))), body), "\n").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_results(rows: DataFrame, folder: str) -> None:
     """Append result records as JSON lines."""
     rows.write.mode("append").json(folder)
