@@ -3,13 +3,16 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import fingerprint, langid, line_dedup, mixing, ngram_join, packing, pii, quality, queries, token_counts, topk
+from wayfold.llm import common, fingerprint, langid, line_dedup, mixing, ngram_join, packing, pii, quality, queries, token_counts, topk
 
 SMALL = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, score string"
@@ -697,3 +700,66 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     # the whole run packs the same pieces
     pieces = lambda df: sorted(zip(df.doc_id, df.start, df.length, df.ids_crc32, strict=True))
     assert pieces(corpus_pipeline.run(spark, sf).toPandas()) == pieces(packed)
+
+
+class Mapped:
+    """Stands for a table of one batch; keeps the function that a map over it would run."""
+
+    def __getattr__(self, name):
+        return lambda *a: self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("owner", ["rows", "packing", "lists"])
+def test_memory_goes_back_after_the_last_batch(spark, monkeypatch, owner):
+    """What a worker gives back between stages holds the last batch and what was made of it as well."""
+    run = {
+        "rows": lambda: common.map_columns(Mapped(), "doc_id long, text string", lambda: lambda ids, texts: [ids, texts]),
+        "packing": lambda: packing.pack_documents(Mapped(), queries.tokenizer_path()),
+        "lists": lambda: ngram_join.star_pairs(Mapped()),
+    }[owner]()
+    seen, left = [], []
+    monkeypatch.setattr(common, "release_memory", lambda: left.append([x() is not None for x in seen]))
+    if hasattr(packing, "release_memory"):
+        monkeypatch.setattr(packing, "release_memory", common.release_memory)
+    common._STATE.clear()
+
+    def batches():
+        second = pa.array(["one two", "three"]) if owner != "lists" else pa.array([1, 2])
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), second, pa.array([3, 3], pa.int32()), pa.array([0, 0], pa.int32())][: 4 if owner == "lists" else 2], names=list("abcd")[: 4 if owner == "lists" else 2])
+        seen.append(weakref.ref(batch))
+        yield batch
+
+    rows = run(batches())
+    assert sum(x.num_rows for x in rows) > 0
+    assert left[-1:] == [[False]]
+    common._STATE.clear()
+
+
+def test_repeated_tokens_equal_counts_in_little_memory():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 500):
+        held = [rng.integers(0, 60, n, dtype=np.uint64), rng.integers(0, 1 << 64, n, dtype=np.uint64)]
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        got = ngram_join.repeated_tokens(held)
+        assert not held and (got[0] == values[counts > 2]).all() and (got[1] == counts[counts > 2]).all()
+    held = [np.concatenate([x, x[:10], x[:10]]) for x in rng.integers(0, 1 << 64, (4, 250_000), dtype=np.uint64)]
+    mb = sum(x.nbytes for x in held)
+    tracemalloc.start()
+    assert len(ngram_join.repeated_tokens(held)[0]) == 40
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * mb
+
+
+def test_stages_with_python_workers_collect_garbage_first_for_memory(spark, empty):
+    """A local session's executor is its own JVM, whose full collections can be counted."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName())
+    before = full()
+    dict(corpus_pipeline.STAGES)["packing"](spark, empty, SMALL)
+    assert full() > before

@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,24 @@ def release_memory() -> None:
         trim(0)
 
 
+def releasing(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``rows`` for an Arrow map; memory goes back after its last batch, when all that it held (that batch too) is gone."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        release_memory()
+
+    return run
+
+
+def collect_executors(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage: heap that they no longer fill, and buffers outside it that wait for a collection, go
+    back before a stage whose memory is that of Python workers beside them. A task a core; an executor without a free core may be
+    missed, which costs memory and no rows."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` has it (in any case of letters)."""
     taken = {c.lower() for c in df.columns}
@@ -75,10 +93,8 @@ def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[..., list]]
             cols = finish()
             if cols and len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-        del fn, finish
-        release_memory()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 #: Keys with more than this share of the matching rows are at most 1/HOT_SHARE many.

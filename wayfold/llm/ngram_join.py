@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, arrow_schema, heavy_light_join, map_columns, min_label_components, saved
+from .common import HOT_SHARE, arrow_schema, heavy_light_join, map_columns, min_label_components, releasing, saved
 
 SHINGLE = 5
 #: Least similarity as a fraction: 100 * intersection >= 80 * union.
@@ -108,6 +108,16 @@ def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
     return (DEN + NUM) * int(np.bitwise_count(x ^ y).sum()) <= (DEN - NUM) * (n + m)
 
 
+def repeated_tokens(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that occur more than twice in the arrays of ``held``, ascending, and their counts; empties ``held``. It sorts one copy
+    and looks for equal ends of three in a row, so it holds no second array of that length."""
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
+    values, counts = np.unique(tokens[2:][tokens[2:] == tokens[:-2]], return_counts=True)
+    return values, counts + 2
+
+
 def profile(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
     """Per document its set size and signature; and, as rows of null id, shingles met in several sets of one task with their counts."""
 
@@ -119,12 +129,10 @@ def profile(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
             nonlocal size
             if not held:
                 return [[]] * 7
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
+            values, counts = repeated_tokens(held)
             size = 0
-            many = counts > 2
-            k = int(many.sum())
-            return [[None] * k, [None] * k, [None] * k, [None] * k, [None] * k, values[many].view(np.int64).tolist(), counts[many].tolist()]
+            k = len(values)
+            return [[None] * k, [None] * k, [None] * k, [None] * k, [None] * k, values.view(np.int64).tolist(), counts.tolist()]
 
         def fn(ids, texts):
             nonlocal size
@@ -295,7 +303,7 @@ def star_pairs(posted: DataFrame, whole: int = 4) -> DataFrame:
         if tail is not None:
             yield finished(*tail)
 
-    return posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "rare", "doc_id").select("key", "doc_id", "n", "salt").mapInArrow(run, schema)
+    return posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "rare", "doc_id").select("key", "doc_id", "n", "salt").mapInArrow(releasing(run), schema)
 
 
 def mixed_lists(lists: DataFrame, *more) -> DataFrame:
@@ -367,7 +375,7 @@ def cross_pairs(lists: DataFrame, marks: DataFrame, block: int = 512) -> DataFra
         if held is not None and len(held[0]):
             yield from pairs(held)
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, schema)
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(releasing(run), schema)
 
 
 def _marks_allow(marks: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:

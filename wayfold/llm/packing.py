@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, release_memory, worker_state
+from .common import arrow_schema, releasing, worker_state
 
 WINDOW = 2048
 SEPARATOR = (1).to_bytes(4, "little")
@@ -215,6 +215,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
                     yield emit(rows)
         if waiting:
             yield emit(flush())
-        release_memory()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, arrow_schema(DDL)[0])
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(releasing(run), arrow_schema(DDL)[0])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_columns, release_memory, worker_state
+from .common import crc_mod, map_columns, releasing, worker_state
 
 CHUNK, STEP = 1024, 896
 WIDTH, STRIDE, FILTERS = 8, 4, 12
@@ -204,8 +204,7 @@ def keep_quality(docs: DataFrame, net: ByteNet, *, threshold: float = 0.3) -> Da
     repeated rows stay or go alike; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.arrow_udf("boolean")
-    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def verdicts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_state("quality", bool)
         scorer = Scorer(shared.value)
         for column in texts:
@@ -213,6 +212,9 @@ def keep_quality(docs: DataFrame, net: ByteNet, *, threshold: float = 0.3) -> Da
             for at in range(0, len(column), 512):
                 good += [scorer.score(t) >= threshold for t in column.slice(at, 512).to_pylist()]
             yield pa.array(good, pa.bool_())
-        release_memory()
+
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(verdicts)(texts)
 
     return docs.where(passes(F.col("text")))
